@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mainbody, overlap, structure
+from weftline.llm import mainbody, overlap, personal, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,5 +38,14 @@ def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
     return structure.text_statistics(table(spark, d, "wet_record"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p4_statistics)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_items(table(spark, d, "wet_record")).select("record_id", "pii_type", "pii_text").distinct()
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    wet = table(spark, d, "wet_record")
+    return personal.mask_items(wet, personal.personal_items(wet))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p4_statistics, p5_found, p5_masked)}
 ORACLES: dict[str, str] = {}
