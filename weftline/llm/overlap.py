@@ -158,7 +158,7 @@ def _prepare(n: int):
             if not norm:
                 continue
             w, p = grams(tokens(s), n)
-            for k, v in zip(out, (rid, side, xxhash.xxh128_hexdigest(norm), s, w, p)):
+            for k, v in zip(out, (rid, side, xxhash.xxh128_digest(norm), s, w, p)):
                 out[k].append(v)
         return out
 
@@ -167,45 +167,49 @@ def _prepare(n: int):
 
 def cross_split_overlaps(
     df: DataFrame, id_col: str = "problem_id", text_col: str = "problem", split_col: str = "split",
-    train: str = "train", evals: tuple[str, ...] = ("validation", "test"), n: int = 5, containment: float = 0.5,
+    train: str = "train", evals: tuple[str, ...] = ("validation", "test"), n: int = 5, containment: float = 0.8, pair_containment: float = 0.5,
 ) -> DataFrame:
-    """Pairs (id_a, id_b), the smaller id first, of a training and an evaluation record that are the same problem, with
-    `containment` (the larger share of the evaluation record's word n-grams or quantity pairs found in the other).
+    """Pairs (id_a, id_b), the smaller id first, of a training and an evaluation record that are the same problem.
 
-    Null ids, splits or texts and blank texts never count; repeated rows give one pair; extra columns are ignored; an
-    empty table gives no rows. Exact copies are one class until the end, so that a text that many rows share is
-    compared once.
+    A pair is looked at where the training record holds at least `containment` of the evaluation record's word n-grams
+    or `pair_containment` of its quantity pairs; the exact check decides. Null ids, splits or texts and blank texts never
+    count; repeated rows give one pair; extra columns are ignored; an empty table gives no rows. Exact copies are one
+    class until the end, so that a text that many rows share is compared once.
     """
     base = df.select(F.col(id_col).alias("rid"), F.col(split_col).alias("split"), F.col(text_col).alias("text"))
     base = base.filter(F.col("rid").isNotNull() & F.col("text").isNotNull() & F.col("split").isin(train, *evals))
     base = base.select("rid", F.when(F.col("split") == train, 0).otherwise(1).alias("side"), "text")
-    prep = cut(map_arrow(spread(base), _prepare(n), "rid bigint, side int, cls string, norm string, words array<bigint>, pairs array<bigint>"))
-    members = prep.select("cls", "side", "rid").distinct()
-    classes = prep.groupBy("cls", "side").agg(F.first("norm").alias("norm"), F.first("words").alias("words"), F.first("pairs").alias("pairs"))
-    e = F.explode
-    long = classes.select("cls", "side", e("words").alias("g"), F.lit(0).alias("kind"), F.size("words").alias("m")).unionByName(
-        classes.select("cls", "side", e("pairs").alias("g"), F.lit(1).alias("kind"), F.size("pairs").alias("m"))
-    )
-    counts = long.filter("side = 0").groupBy("g").agg(F.count("*").alias("df"))
+    prep = cut(map_arrow(spread(base), _prepare(n), "rid bigint, side int, cls binary, norm string, words array<bigint>, pairs array<bigint>"))
+    classes = cut(prep.dropDuplicates(["cls", "side"]).drop("rid"))
+    ev, tr = classes.filter("side = 1"), classes.filter("side = 0")
+
+    def long(side: DataFrame, name: str) -> DataFrame:
+        one = lambda col, kind: side.select(F.col("cls").alias(name), F.explode(col).alias("g"), F.lit(kind).alias("kind"), F.size(col).alias("m"))
+        return one("words", 0).unionByName(one("pairs", 1))
+
+    counts = long(tr, "t").groupBy("g").agg(F.count("*").alias("df"))
     # An n-gram that no training record has cannot hit, yet keeps its place in the order: it is the rarest.
-    ranked = long.filter("side = 1").join(counts, "g", "left").select("cls", "kind", "m", "g", F.coalesce("df", F.lit(0)).alias("df"))
-    arr = ranked.groupBy("cls", "kind", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    keep = F.col("m") - F.ceil(F.col("m") * F.lit(containment)).cast("int") + 1
-    prefix = arr.select("cls", F.explode(F.slice("gs", F.lit(1), keep)).alias("x")).select(F.col("cls").alias("e"), "x.g", "x.df").filter("df > 0").select("e", "g")
-    hits = prefix.join(long.filter("side = 0").select(F.col("cls").alias("t"), "g"), "g").select("e", "t").distinct()
-    ev = classes.filter("side = 1").select(F.col("cls").alias("e"), F.col("norm").alias("en"), F.col("words").alias("ew"), F.col("pairs").alias("ep"))
-    tr = classes.filter("side = 0").select(F.col("cls").alias("t"), F.col("norm").alias("tn"), F.col("words").alias("tw"), F.col("pairs").alias("tp"))
-    share = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)), F.lit(0.0))
-    scored = hits.join(ev, "e").join(tr, "t").select("e", "t", "en", "tn", F.greatest(share("ew", "tw"), share("ep", "tp")).alias("containment"))
-    scored = scored.filter(F.col("containment") >= containment)
+    ranked = long(ev, "e").join(counts, "g", "left").select("e", "kind", "m", "g", F.coalesce("df", F.lit(0)).alias("df"))
+    share = F.when(F.col("kind") == 0, F.lit(containment)).otherwise(F.lit(pair_containment))
+    keep = F.col("m") - F.ceil(F.col("m") * share).cast("int") + 1
+    arr = ranked.groupBy("e", "kind", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    prefix = arr.select("e", F.explode(F.slice("gs", F.lit(1), keep)).alias("x")).filter("x.df > 0").select("e", "x.g")
+    hits = prefix.join(long(tr, "t").select("t", "g"), "g").select("e", "t").distinct()
+    scored = hits.join(ev.select(F.col("cls").alias("e"), F.col("norm").alias("en"), F.col("words").alias("ew"), F.col("pairs").alias("ep")), "e")
+    scored = scored.join(tr.select(F.col("cls").alias("t"), F.col("norm").alias("tn"), F.col("words").alias("tw"), F.col("pairs").alias("tp")), "t")
 
     def verify(cols: dict[str, list]) -> dict[str, list]:
-        ok = [same_problem(a, b) for a, b in zip(cols["en"], cols["tn"])]
-        return {k: [v for v, o in zip(cols[k], ok) if o] for k in ("e", "t", "containment")}
+        out: dict[str, list] = {"e": [], "t": [], "containment": []}
+        for e, t, en, tn, ew, ep, tw, tp in zip(*(cols[k] for k in ("e", "t", "en", "tn", "ew", "ep", "tw", "tp"))):
+            held = [len(set(a) & set(b)) / len(a) if a else 0.0 for a, b in ((ew, tw), (ep, tp))]
+            if (held[0] >= containment or held[1] >= pair_containment) and same_problem(en, tn):
+                for k, v in zip(out, (e, t, max(held))):
+                    out[k].append(v)
+        return out
 
-    found = map_arrow(scored, verify, "e string, t string, containment double")
-    me = members.filter("side = 1").select(F.col("cls").alias("e"), F.col("rid").alias("ride"))
-    mt = members.filter("side = 0").select(F.col("cls").alias("t"), F.col("rid").alias("ridt"))
+    found = map_arrow(scored, verify, "e binary, t binary, containment double")
+    me = prep.filter("side = 1").select(F.col("cls").alias("e"), F.col("rid").alias("ride"))
+    mt = prep.filter("side = 0").select(F.col("cls").alias("t"), F.col("rid").alias("ridt"))
     both = found.join(me, "e").join(mt, "t").filter("ride <> ridt")
     return both.groupBy(F.least("ride", "ridt").alias("id_a"), F.greatest("ride", "ridt").alias("id_b")).agg(F.max("containment").alias("containment"))
 
