@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import mainbody, overlap, personal, structure
+from weftline.llm import abuse, mainbody, overlap, personal, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,18 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(problems, overlap.cross_split_overlaps(problems))
 
 
+def _abuse(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "wet_record"), table(spark, d, "labelled_line"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).select("record_id", F.explode("categories").alias("category")).distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_rates(_abuse(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     stats = structure.text_statistics(table(spark, d, "wet_record"))
     return stats.filter("kind in ('list', 'table', 'junk')").select("record_id", "kind").distinct()
@@ -47,5 +60,5 @@ def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.mask_items(wet, personal.personal_items(wet))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p4_statistics, p5_found, p5_masked)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked)}
 ORACLES: dict[str, str] = {}
