@@ -13,13 +13,13 @@ def bucket(feature: str, bits: int) -> int:
     return xxhash.xxh32_intdigest(feature) & ((1 << bits) - 1)
 
 
-def pack(rows: Iterable[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of {bucket: value} as (indices, values, starts)."""
+def pack(rows: Iterable[dict[int, float]], unit: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of {bucket: value} as (indices, values, starts), scaled to length one if `unit`."""
     idx: list[int] = []
     val: list[float] = []
     starts = [0]
     for r in rows:
-        norm = math.sqrt(sum(v * v for v in r.values())) or 1.0
+        norm = unit and math.sqrt(sum(v * v for v in r.values())) or 1.0
         idx += r.keys()
         val += [v / norm for v in r.values()]
         starts.append(len(idx))

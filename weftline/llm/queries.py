@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import abuse, mainbody, overlap, personal, structure
+from weftline.llm import abuse, mainbody, overlap, pairs, personal, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,5 +60,9 @@ def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.mask_items(wet, personal.personal_items(wet))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, d, "sft_example")).filter("defect is not null").select("example_id", "defect").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found)}
 ORACLES: dict[str, str] = {}
