@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import abuse, mainbody, overlap, pairs, personal, structure
+from weftline.llm import abuse, langid, mainbody, overlap, pairs, personal, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,5 +64,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_defects(table(spark, d, "sft_example")).filter("defect is not null").select("example_id", "defect").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    got = langid.languages(table(spark, d, "wet_record")).filter("relabel")
+    return got.select("record_id", F.explode("languages").alias("lang")).distinct()
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    got = langid.languages(table(spark, d, "wet_record"))
+    return got.select("record_id", "lang", "confidence", F.posexplode_outer("segments").alias("segment", "s")).select(
+        "record_id", "lang", "confidence", "segment", F.col("s.lang").alias("segment_lang"), F.col("s.confidence").alias("segment_confidence"), F.col("s.n_chars").alias("n_chars")
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments)}
 ORACLES: dict[str, str] = {}
