@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import abuse, langid, mainbody, overlap, pairs, personal, structure
+from weftline.llm import abuse, common, langid, mainbody, overlap, packing, pairs, personal, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,5 +76,18 @@ def p7_segments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments)}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = common.cut(packing.token_sizes(table(spark, d, "documents")))
+    return packing.pack(sizes, table(spark, d, "context_window"))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("window_id", "doc_id", "part", "container", "position")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, d), table(spark, d, "context_window"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments, p8_pack, p8_report)}
 ORACLES: dict[str, str] = {}
