@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import abuse, common, langid, mainbody, overlap, packing, pairs, personal, structure
+from weftline.llm import abuse, common, langid, leakage, mainbody, overlap, packing, pairs, personal, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,5 +89,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d), table(spark, d, "context_window"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments, p8_pack, p8_report)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(_leaks(spark, d))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments, p8_pack, p8_report, p9_found, p9_report)}
 ORACLES: dict[str, str] = {}
