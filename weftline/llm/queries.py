@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import abuse, common, langid, leakage, mainbody, overlap, packing, pairs, personal, structure
+from weftline.llm import abuse, common, langid, leakage, mainbody, overlap, packing, pairs, personal, spam, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,5 +101,13 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(_leaks(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments, p8_pack, p8_report, p9_found, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_scores(table(spark, d, "documents")).filter("spam").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_scores(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_rates, p4_found, p4_statistics, p5_found, p5_masked, p6_found, p7_found, p7_segments, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_scores)}
 ORACLES: dict[str, str] = {}
