@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import FUNCTION_SETS, WORD, map_arrow, spread
+from weftline.llm.common import FUNCTION_SETS, WORD, bounded_sample, cut, map_arrow, spread
 from weftline.llm.linear import Linear, bucket, pack
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -327,8 +327,6 @@ def vocabulary(df: DataFrame, text_col: str = "text", least_share: float = 1e-5)
 
     counts = map_arrow(spread(df.select(F.col(text_col).alias("text"))), run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     counts = counts.filter(F.length("w") <= 24)
-    from weftline.llm.common import cut
-
     counts = cut(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r["w"]: float(r["n"]) for r in counts.filter(F.col("n") >= F.lit(total * least_share)).collect()}
@@ -344,7 +342,7 @@ def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id",
     """
     lines = [(r["label"], r["text"]) for r in labelled.select("line_id", "label", "text").filter("label is not null and text is not null").orderBy("line_id").limit(max_labelled).collect()]
     text = F.col(text_col)
-    chosen = df.select(text.alias("text")).filter(text.isNotNull()).orderBy(F.xxhash64("text"), "text").limit(max_background)
+    chosen = bounded_sample(df.select(F.col(id_col).alias("id"), text.alias("text")).filter(text.isNotNull()), max_background, "id")
     det = fit(lines, vocabulary(df, text_col), [r["text"] for r in chosen.collect()], threshold=threshold)
 
     def run(cols: dict[str, list]) -> dict[str, list]:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl")
@@ -67,6 +68,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def bounded_sample(df: DataFrame, k: int, id_col: str) -> DataFrame:
+    """At most k rows, those of the smallest id hash. Rows that cannot be among them (but with a vanishing chance) are left
+    out before the sort, so that what is gathered does not grow with the data."""
+    h = F.xxhash64(id_col)
+    if (n := df.count()) > k:
+        share = min(1.0, (k + 6 * k**0.5 + 20) / n)
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), id_col).limit(k)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch as a dict of Python lists; fn returns a dict of lists in the order of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

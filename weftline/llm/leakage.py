@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, map_arrow, spread
+from weftline.llm.common import bounded_sample, cut, map_arrow, spread
 
 BITS = 15
 SPAN, STRIDE, ITEM_STRIDE = 16, 8, 8
@@ -200,7 +200,7 @@ def latent_basis(ids: DataFrame, weight: np.ndarray, held: list[Item], rank: int
     back, and the products, of fixed size, are summed."""
     width = rank + over
     omega = np.random.default_rng(seed).standard_normal((1 << BITS, width)).astype(np.float32)
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    chosen = bounded_sample(ids, max_docs, "doc_id")
 
     def times(m: np.ndarray):
         def run(cols: dict[str, list]) -> dict[str, list]:
