@@ -12,7 +12,7 @@ from weftline.operators import joins, rewards, sampling
     [
         (r"\frac{1}{2}", "0.5", True), ("12,345", "12345", True), ("3.0", "3", True), ("(1, 2)", "(1,2)", True), ("(1,2]", "(1,2)", False),
         (r"2\sqrt{3}", r"\sqrt{12}", True), ("x+1", "1+x", True), ("x+1", "x-1", False), (r"\frac34", "3/4", True), ("5 cm", "5", True), ("7", "8", False),
-        (r"\text{yes}", "yes", True), ("1/0", "1/0", True), ("1/0", "2", False), ("", "3", False), ("2^10", "1024", True), ("y=4", "4", True), ("50\\%", "50", True),
+        (r"\text{yes}", "yes", True), ("1/0", "1/0", True), ("1/0", "2", False), ("", "3", False), ("2^10", "1024", False), ("2^{10}", "4^5", True), ("y=4", "4", True), ("50\\%", "50", True),
     ],
 )
 def test_grade(a, b, same):

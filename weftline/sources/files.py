@@ -57,7 +57,7 @@ def write_token_shards(df: DataFrame, path: str, shard_col: str = "shard", ids_c
     beyond 65535 fail. Returns (shard, file, n_tokens)."""
     os.makedirs(path, exist_ok=True)
 
-    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([np.asarray(x, np.int64) for x in pdf.sort_values(order_col)[ids_col]] or [np.zeros(0, np.int64)])
         if len(ids) and (ids.min() < 0 or ids.max() > 65535):
             raise ValueError("token id outside 16 bits")
@@ -70,7 +70,7 @@ def write_token_shards(df: DataFrame, path: str, shard_col: str = "shard", ids_c
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ids) of raw 16-bit shards."""
+    """(file, ids) of raw 16-bit shards; an empty file gives no row."""
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(b: pd.Series) -> pd.Series:
