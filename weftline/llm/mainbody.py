@@ -64,14 +64,14 @@ def decode(payload: bytes, content_type: str | None = None) -> str:
     for bom, codec in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if payload.startswith(bom):
             return payload.decode(codec, "replace")
-    for cut in range(4):
+    m = _CHARSET.search((content_type or "").encode()) or _CHARSET.search(payload[:4096])
+    name = m[1].decode("ascii", "ignore").lower() if m else "windows-1252"
+    for cut in range(4 if len(payload) > 4 and (not m or name.startswith("utf")) else 1):
         try:
             return payload[: len(payload) - cut].decode("utf-8")
         except UnicodeDecodeError as e:
             if e.start < len(payload) - 4:
                 break
-    m = _CHARSET.search((content_type or "").encode()) or _CHARSET.search(payload[:4096])
-    name = m[1].decode("ascii", "ignore").lower() if m else "windows-1252"
     if name in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii", "utf-8", "utf8"):
         name = "windows-1252"
     try:
