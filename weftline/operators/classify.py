@@ -19,9 +19,9 @@ STOPWORDS = {
 }
 
 
-def language_scores(text: Column) -> dict[str, Column]:
+def language_scores(words: Column) -> dict[str, Column]:
     def hits(known: list[str]) -> Column:
-        return F.size(F.filter(T.words(F.lower(text)), lambda x: x.isin(known)))
+        return F.size(F.filter(words, lambda x: x.isin(known)))
 
     return {k: hits(v) for k, v in sorted(STOPWORDS.items())}
 
@@ -29,8 +29,9 @@ def language_scores(text: Column) -> dict[str, Column]:
 def identify_language(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds identified and identified_score: the language of most telling words (of equal ones the first by name) and its share
     of all telling words; null without any."""
-    hits = language_scores(F.col(text_col))
-    out = df.select("*", *[c.alias(f"_h_{k}") for k, c in hits.items()])
+    hits = language_scores(F.col("_words"))
+    split = df.select("*", T.words(F.lower(F.col(text_col))).alias("_words"))
+    out = split.select("*", *[c.alias(f"_h_{k}") for k, c in hits.items()]).drop("_words")
     most = F.greatest(*[F.col(f"_h_{k}") for k in hits])
     pick = F.coalesce(*[F.when((F.col(f"_h_{k}") == most) & (most > 0), F.lit(k)) for k in hits])
     total = sum((F.col(f"_h_{k}") for k in list(hits)[1:]), F.col(f"_h_{list(hits)[0]}"))

@@ -19,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise into the shared folder and cut the lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs come in fewer splits than there are cores; then spread the rows. Large inputs stay as they were read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

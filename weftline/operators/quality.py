@@ -11,30 +11,28 @@ from weftline.functions import text as T
 COMMON = ("the", "be", "to", "of", "and", "that", "have", "with")
 
 
-def rule_columns(text: Column | str, tokens: Column | None = None) -> dict[str, Column]:
-    """The measures of the quality rules, from white-space tokens or the given ones."""
-    t = F.col(text) if isinstance(text, str) else text
-    w = T.words(t) if tokens is None else tokens
-    ln = T.lines(t)
-    low = F.lower(t)
-    n = F.size(w)
+def rule_columns(t: Column, w: Column, ln: Column, low: Column) -> dict[str, Column]:
+    """The measures of the quality rules, from a text, its tokens, its lines and its lower-case form."""
     return {
-        "n_words": n,
+        "n_words": F.size(w),
         "n_lines": F.size(ln),
         "word_chars": F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)),
-        "n_ellipsis_lines": F.size(F.filter(ln, lambda x: T.strip(x).endswith("..."))),
+        "n_ellipsis_lines": F.size(F.filter(ln, lambda x: x.contains("...") & T.strip(x).endswith("..."))),
         "n_alpha_words": F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))),
         "n_hashes": T.occurrences(t, "#"),
         "n_ellipses": T.occurrences(t, "…"),
-        "n_bullet_lines": F.size(F.filter(ln, lambda x: F.regexp_replace(x, f"^{T.WS}+", "").rlike("^[-*•] "))),
+        "n_bullet_lines": F.size(F.filter(ln, lambda x: x.rlike(f"^{T.WS}*[-*•] "))),
         "n_common": sum((low.contains(f" {x} ") | low.startswith(f"{x} ") | low.endswith(f" {x}")).cast("int") for x in COMMON),
     }
 
 
-def with_rules(df: DataFrame, text_col: str = "text", extended: bool = True) -> DataFrame:
+def with_rules(df: DataFrame, text_col: str = "text", extended: bool = True, keep_words: bool = False) -> DataFrame:
     """Adds the measures and `failed`: the first rule that a text breaks, null where it breaks none (and for null texts,
     'null'). extended: also symbols, bullets and common words. Each ratio is guarded by the word-count rule before it."""
-    out = df.select("*", *[c.alias(k) for k, c in rule_columns(text_col).items()])
+    t = F.col(text_col)
+    # The split text is a column of its own, so that it is made once and not again in every measure.
+    split = df.select("*", T.words(t).alias("_words"), T.lines(t).alias("_lines"), F.lower(t).alias("_low"))
+    out = split.select("*", *[c.alias(k) for k, c in rule_columns(t, F.col("_words"), F.col("_lines"), F.col("_low")).items()])
     r = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     failed = F.when(F.col(text_col).isNull(), "null").when(~F.col("n_words").between(50, 100000), "word_count")
     mean = r("word_chars", "n_words")
@@ -43,7 +41,8 @@ def with_rules(df: DataFrame, text_col: str = "text", extended: bool = True) ->
     if extended:
         failed = failed.when(r("n_hashes", "n_words") > 0.1, "hashes").when(r("n_ellipses", "n_words") > 0.1, "ellipses")
         failed = failed.when(r("n_bullet_lines", "n_lines") > 0.9, "bullets").when(F.col("n_common") < 2, "common_words")
-    return out.withColumn("failed", failed)
+    out = out.withColumn("failed", failed).drop("_lines", "_low")
+    return out if keep_words else out.drop("_words")
 
 
 def gate(label: Column | str, score: Column | str, wanted: str, least: float) -> Column:
@@ -75,12 +74,12 @@ STAGES = ("s_text", "s_lang", "s_rules", "s_ratio")
 def with_stages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", lang: str = "en", least_ratio: float = 0.2) -> DataFrame:
     """Stage flags in the funnel's order; a stage is true only where all before it are."""
     t = F.col(text_col)
-    out = with_rules(df, text_col)
+    out = with_rules(df, text_col, keep_words=True)
     s_text = F.coalesce(~T.is_blank(t), F.lit(False))
     s_lang = s_text & F.coalesce(F.col(lang_col) == lang, F.lit(False))
     s_rules = s_lang & F.col("failed").isNull()
-    s_ratio = s_rules & (T.type_token_ratio(T.words(t)) >= least_ratio)
-    return out.withColumns({"s_text": s_text, "s_lang": s_lang, "s_rules": s_rules, "s_ratio": s_ratio})
+    s_ratio = s_rules & (T.type_token_ratio("_words") >= least_ratio)
+    return out.withColumns({"s_text": s_text, "s_lang": s_lang, "s_rules": s_rules, "s_ratio": s_ratio}).drop("_words")
 
 
 def funnel(df: DataFrame, by: str = "source", **kw) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import grading, html, pii
 from weftline.functions import text as T
 from weftline.operators import bpe, classify, dedup, joins, quality, rewards, sampling
-from weftline.operators.common import cut
+from weftline.operators.common import cut, spread
 from weftline.plans import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +30,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores where its files are fewer."""
+    return spread(table(spark, d, name))
+
+
 def _r(c, n: int = 6):
     return F.round(c, n)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Mask, judge, drop repeated lines and count, by source."""
-    docs = pii.mask_all(table(spark, d, "documents")).select("doc_id", F.col("masked").alias("text"), "lang", "source")
+    docs = pii.mask_all(texts(spark, d, "documents")).select("doc_id", F.col("masked").alias("text"), "lang", "source")
     clean = dedup.drop_repeated_lines(docs).join(docs.drop("text"), "doc_id")
     return quality.funnel(clean)
 
@@ -46,13 +51,13 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 @query
 def flt3_quality_rules(spark, d):
     cols = ["n_words", "n_lines", "word_chars", "n_ellipsis_lines", "n_alpha_words", "n_hashes", "n_ellipses", "n_bullet_lines", "n_common", "failed"]
-    return quality.with_rules(table(spark, d, "documents")).select("doc_id", *cols)
+    return quality.with_rules(texts(spark, d, "documents")).select("doc_id", *cols)
 
 
 @query
 def flt2_basic_rules(spark, d):
     """The basic rules over word and punctuation tokens."""
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     w = T.word_tokens("text")
     out = docs.select("doc_id", F.size(w).alias("n_tokens"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("token_chars"), F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))).alias("n_alpha"))
     return out.withColumn("passes_tokens", F.col("n_tokens").between(50, 100000) & (F.try_divide("token_chars", "n_tokens").between(3, 10)) & (F.try_divide("n_alpha", "n_tokens") >= 0.8))
@@ -61,17 +66,17 @@ def flt2_basic_rules(spark, d):
 @query
 def flt7_type_token_ratio(spark, d):
     w = T.words("text")
-    return table(spark, d, "documents").select("doc_id", F.size(w).alias("n_words"), _r(T.type_token_ratio(w)).alias("ttr"))
+    return texts(spark, d, "documents").select("doc_id", F.size(w).alias("n_words"), _r(T.type_token_ratio(w)).alias("ttr"))
 
 
 @query
 def flt9_funnel(spark, d):
-    return quality.funnel(table(spark, d, "documents"))
+    return quality.funnel(texts(spark, d, "documents"))
 
 
 @query
 def flt10_bernoulli_sample(spark, d):
-    return quality.bernoulli(table(spark, d, "documents"), 0.02, "doc_id", seed=1).select("doc_id")
+    return quality.bernoulli(texts(spark, d, "documents"), 0.02, "doc_id", seed=1).select("doc_id")
 
 
 @query
@@ -86,7 +91,7 @@ def flt5_flt6_example_gates(spark, d):
 
 @query
 def cls1_language(spark, d):
-    out = classify.identify_language(table(spark, d, "documents"))
+    out = classify.identify_language(texts(spark, d, "documents"))
     return out.select("doc_id", "identified", _r("identified_score").alias("score"))
 
 
@@ -95,14 +100,14 @@ def cls4_quality_classifier(spark, d):
     """A linear classifier of clean and other lines, trained on the labelled lines, over all documents."""
     lines = table(spark, d, "labelled_line").select("text", F.when(F.col("label") == "__label__clean", "positive").otherwise("negative").alias("label"))
     model = classify.train_linear(lines)
-    got = classify.predict_linear(model, table(spark, d, "documents").select("doc_id", "text"))
+    got = classify.predict_linear(model, texts(spark, d, "documents").select("doc_id", "text"))
     return got.select("doc_id", F.when(F.col("predicted") == "positive", "wiki").otherwise("cc").alias("label"), _r("predicted_score").alias("score"))
 
 
 @query
 def cls2_cls3_nsfw_toxic(spark, d):
     lines = table(spark, d, "labelled_line").select("text", T.strip_label("label").alias("label"))
-    got = classify.predict_linear(classify.train_linear(lines), table(spark, d, "documents").select("doc_id", "text"))
+    got = classify.predict_linear(classify.train_linear(lines), texts(spark, d, "documents").select("doc_id", "text"))
     return got.select("doc_id", "predicted", _r("predicted_score").alias("score"))
 
 
@@ -110,23 +115,23 @@ def cls2_cls3_nsfw_toxic(spark, d):
 
 @query
 def pii_masks(spark, d):
-    return pii.mask_all(table(spark, d, "documents")).select("doc_id", "n_emails", "n_ips", F.md5("masked").alias("masked_md5"))
+    return pii.mask_all(texts(spark, d, "documents")).select("doc_id", "n_emails", "n_ips", F.md5("masked").alias("masked_md5"))
 
 
 @query
 def pii_wet_masks(spark, d):
-    return pii.mask_all(table(spark, d, "wet_record"), only_hits=True).select("record_id", "n_emails", "n_phones", "n_ips", "masked")
+    return pii.mask_all(texts(spark, d, "wet_record"), only_hits=True).select("record_id", "n_emails", "n_phones", "n_ips", "masked")
 
 
 @query
 def prj7_mask_contexts(spark, d):
-    m = pii.mask_all(table(spark, d, "wet_record"), only_hits=True)
+    m = pii.mask_all(texts(spark, d, "wet_record"), only_hits=True)
     return m.select("record_id", F.posexplode(T.keyword_context("masked", r"\|\|\|(?:EMAIL_ADDRESS|PHONE_NUMBER|IP_ADDRESS)\|\|\|")).alias("nth", "context"))
 
 
 @query
 def prj_normal_forms(spark, d):
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         "doc_id", F.md5(T.newlines_to_blanks("text")).alias("blanks_md5"), F.md5(T.join_lines("text")).alias("joined_md5"),
         F.md5(T.collapse("text")).alias("collapsed_md5"), T.excerpt("text", 300).alias("excerpt"),
     )
@@ -134,35 +139,35 @@ def prj_normal_forms(spark, d):
 
 @query
 def prj1_html_text(spark, d):
-    w = table(spark, d, "warc_record").filter("warc_type = 'response'")
+    w = texts(spark, d, "warc_record").filter("warc_type = 'response'")
     return w.select("record_id", html.extract_detect("payload").alias("text"), html.extract_utf8_first("payload").alias("text_utf8_first"))
 
 
 @query
 def prj2_normalized(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize("text", full=True)).alias("normal_md5"))
+    return texts(spark, d, "documents").select("doc_id", F.md5(T.normalize("text", full=True)).alias("normal_md5"))
 
 
 # --- deduplication, DUP1-DUP10
 
 @query
 def dup1_line_dedup(spark, d):
-    return dedup.drop_repeated_lines(table(spark, d, "documents")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return dedup.drop_repeated_lines(texts(spark, d, "documents")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query
 def dup1_line_counts(spark, d):
-    return dedup.line_counts(table(spark, d, "documents")).filter("n > 1")
+    return dedup.line_counts(texts(spark, d, "documents")).filter("n > 1")
 
 
 @query
 def doc_exact_dedup(spark, d):
-    return dedup.exact_classes(table(spark, d, "documents"))
+    return dedup.exact_classes(texts(spark, d, "documents"))
 
 
 def _grams(spark, d):
     """Distinct normal texts of the documents with their shingles, under the smallest id."""
-    norm = table(spark, d, "documents").filter("text is not null").select("doc_id", T.normalize("text").alias("norm"))
+    norm = texts(spark, d, "documents").filter("text is not null").select("doc_id", T.normalize("text").alias("norm"))
     return cut(norm.groupBy("norm").agg(F.min("doc_id").alias("doc_id")).select("doc_id", T.ngrams(T.words("norm"), 5).alias("g")))
 
 
@@ -190,54 +195,54 @@ def dup7_similar_pairs(spark, d):
 
 @query
 def dup10_near_duplicates(spark, d):
-    return dedup.near_duplicates(table(spark, d, "documents"))
+    return dedup.near_duplicates(texts(spark, d, "documents"))
 
 
 # --- tokenizer, BPE1-BPE15
 
 @query
 def bpe4_pretoken_counts(spark, d):
-    return bpe.pretoken_counts(table(spark, d, "documents"))
+    return bpe.pretoken_counts(texts(spark, d, "documents"))
 
 
 @query
 def bpe5_pair_counts(spark, d):
-    return bpe.pair_counts(bpe.pretoken_counts(table(spark, d, "documents")))
+    return bpe.pair_counts(bpe.pretoken_counts(texts(spark, d, "documents")))
 
 
 @query
 def bpe6_best_pair(spark, d):
-    return bpe.best_pair(bpe.pair_counts(bpe.pretoken_counts(table(spark, d, "documents"))))
+    return bpe.best_pair(bpe.pair_counts(bpe.pretoken_counts(texts(spark, d, "documents"))))
 
 
 def _tokenizer(spark, d):
-    vocab, merges = bpe.train(table(spark, d, "documents"), 600)
+    vocab, merges = bpe.train(texts(spark, d, "documents"), 600)
     return bpe.Tokenizer(vocab, merges, ("<|endoftext|>",))
 
 
 @query
 def bpe7_merges(spark, d):
-    _, merges = bpe.train(table(spark, d, "documents"), 600)
+    _, merges = bpe.train(texts(spark, d, "documents"), 600)
     return spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(merges)], "rank int, left_bytes binary, right_bytes binary")
 
 
 @query
 def bpe11_round_trip(spark, d):
     t = _tokenizer(spark, d)
-    out = bpe.decode(bpe.encode(table(spark, d, "documents"), t), t)
+    out = bpe.decode(bpe.encode(texts(spark, d, "documents"), t), t)
     return out.select("doc_id", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
 @query
 def bpe14_compression(spark, d):
-    return bpe.compression(bpe.encode(table(spark, d, "documents"), _tokenizer(spark, d)))
+    return bpe.compression(bpe.encode(texts(spark, d, "documents"), _tokenizer(spark, d)))
 
 
 # --- answers, GRD1-GRD15, FLT12
 
 @query
 def grd5_tag_answers(spark, d):
-    x = table(spark, d, "sft_example")
+    x = texts(spark, d, "sft_example")
     return x.select("example_id", grading.tag_answer(F.col("response")).alias("answer"), F.coalesce(grading.exact_answer(F.col("response"), F.col("ground_truth")), F.lit(False)).alias("exact"))
 
 
@@ -260,19 +265,19 @@ def grd6_grd7_normal_forms(spark, d):
 
 @query
 def grd1_tagged_rewards(spark, d):
-    x = table(spark, d, "sft_example").filter("ground_truth is not null")
+    x = texts(spark, d, "sft_example").filter("ground_truth is not null")
     return x.withColumn("r", grading.tagged_reward("response", "ground_truth")).select("example_id", "r.*")
 
 
 @query
 def grd2_boxed_rewards(spark, d):
-    x = table(spark, d, "sft_example").filter("ground_truth is not null")
+    x = texts(spark, d, "sft_example").filter("ground_truth is not null")
     return x.withColumn("r", grading.boxed_reward("response", "ground_truth")).select("example_id", "r.*")
 
 
 @query
 def grd15_repetition(spark, d):
-    return table(spark, d, "sft_example").select("example_id", _r(grading.repetition("response")).alias("repetition"))
+    return texts(spark, d, "sft_example").select("example_id", _r(grading.repetition("response")).alias("repetition"))
 
 
 @query
@@ -285,7 +290,7 @@ def agg2_eval_summary(spark, d):
 
 @query
 def flt12_exact_answers(spark, d):
-    x = table(spark, d, "sft_example")
+    x = texts(spark, d, "sft_example")
     return x.filter(grading.exact_answer(F.col("response"), F.col("ground_truth"))).select("example_id", "ground_truth")
 
 
@@ -409,7 +414,7 @@ def rln9_attention(spark, d):
 @query
 def win3_top_p(spark, d):
     """Of each language's sources the most frequent up to half of its documents."""
-    n = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    n = texts(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
     p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).withColumn("source", F.coalesce("source", F.lit("")))
     out = rewards.top_p(p, 0.5, by=["lang"], order="source")
     return out.select("lang", "source", "n", _r("renormalized").alias("renormalized"))
@@ -418,7 +423,7 @@ def win3_top_p(spark, d):
 @query
 def smp6_prompt_response(spark, d):
     """Byte values of prompts and responses as ids."""
-    x = table(spark, d, "sft_example").filter("prompt is not null and response is not null")
+    x = texts(spark, d, "sft_example").filter("prompt is not null and response is not null")
     ids = lambda c: F.transform(F.split(F.col(c), ""), lambda ch: F.ascii(ch))
     cols = sampling.prompt_response(ids("prompt"), ids("response"))
     return x.select("example_id", F.size(cols["input_ids"]).alias("n_input"), F.size(F.filter(cols["response_mask"], lambda m: m)).alias("n_response"), F.aggregate(F.slice(cols["labels"], 1, 50), F.lit(0), lambda a, v: a + v).alias("label_sum"))
@@ -427,21 +432,21 @@ def smp6_prompt_response(spark, d):
 @query
 def smp7_collate(spark, d):
     """Batches of eight rows by id, each array padded to its batch's longest."""
-    x = table(spark, d, "sft_example").filter("response is not null").select("example_id", F.floor(F.col("example_id") / 8).alias("batch"), F.transform(T.words("response"), lambda w: F.length(w)).alias("ids"))
+    x = texts(spark, d, "sft_example").filter("response is not null").select("example_id", F.floor(F.col("example_id") / 8).alias("batch"), F.transform(T.words("response"), lambda w: F.length(w)).alias("ids"))
     out = sampling.collate(x, "batch", {"ids": 0})
     return out.select("example_id", "batch", F.size("ids").alias("padded"), F.aggregate("ids", F.lit(0), lambda a, v: a + v).alias("total"))
 
 
 @query
 def smp5_windows(spark, d):
-    x = table(spark, d, "documents").filter("text is not null").select("doc_id", F.transform(T.words("text"), lambda w: F.length(w)).alias("ids"))
+    x = texts(spark, d, "documents").filter("text is not null").select("doc_id", F.transform(T.words("text"), lambda w: F.length(w)).alias("ids"))
     out = sampling.windows(x, "ids", "doc_id", 16, 2)
     return out.select("doc_id", "window", "start", F.aggregate("inputs", F.lit(0), lambda a, v: a + v).alias("inputs"), F.aggregate("targets", F.lit(0), lambda a, v: a + v).alias("targets"))
 
 
 @query
 def smp1_sample_k(spark, d):
-    return sampling.sample_k(table(spark, d, "documents"), 10, "doc_id").select("doc_id")
+    return sampling.sample_k(texts(spark, d, "documents"), 10, "doc_id").select("doc_id")
 
 
 @query
@@ -461,8 +466,8 @@ def smp9_rollout_plan(spark, d):
 
 @query
 def joi1_uri_match(spark, d):
-    wet = table(spark, d, "wet_record").select("record_id", "target_uri")
-    warc = table(spark, d, "warc_record").filter("warc_type = 'response'").select("target_uri", F.col("record_id").alias("warc_id"))
+    wet = texts(spark, d, "wet_record").select("record_id", "target_uri")
+    warc = texts(spark, d, "warc_record").filter("warc_type = 'response'").select("target_uri", F.col("record_id").alias("warc_id"))
     return joins.first_match(wet, warc, "target_uri", "warc_id").select("record_id", F.col("right_warc_id").alias("warc_id"))
 
 
@@ -491,7 +496,7 @@ def joi7_state_difference(spark, d):
 
 @query
 def set1_shared_words(spark, d):
-    p = table(spark, d, "sft_example").filter("prompt is not null and response is not null")
+    p = texts(spark, d, "sft_example").filter("prompt is not null and response is not null")
     a, b = F.array_distinct(T.words("prompt")), F.array_distinct(T.words("response"))
     return p.select("example_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_union(a, b)).alias("n_any"), _r(dedup.jaccard(a, b)).alias("jaccard"))
 
