@@ -220,13 +220,15 @@ def nearest(d: dict, text: str, profiles: dict[str, np.ndarray]) -> tuple[str, d
         kind = "list" if d["n_lines"] >= 4 and short >= 0.8 * d["n_lines"] else "junk" if _gibberish(d) else "prose"
     elif kind == "list" and f[4] > 0.5:
         kind = "table"
+    if kind == "prose" and f[4] + f[5] > 0.85 and d["n_lines"] >= 3:
+        kind = "table"
     if kind == "prose" and d["coverage"] < 0.15:
         # Hardly a function word: prose only in name. The dominant form decides.
         if f[4] + f[5] > 0.6 and d["n_lines"] >= 2:
             kind = "table"
         elif f[2] + f[3] > 0.6 or inline_list(text, low):
             kind = "list"
-        elif d["n_words"] >= 8 and (_gibberish(d) or d["distinct"] <= 1):
+        elif d["n_words"] >= 8 and _gibberish(d) or d["n_words"] >= 16 and d["distinct"] <= 1:
             kind = "junk"
     return kind, div
 
