@@ -24,6 +24,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg object select canvas noframes title xmp".split())
 SIDE = frozenset("nav aside footer button form menu dialog head option".split())
+#: Elements that are parts of a body and not one themselves.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote table tbody tr thead tfoot".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 _IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tr td th thead tbody", ("table",)), "tfoot": ("tr td th thead tbody", ("table",))}
 _PHRASING_SCOPE = frozenset("table td th ul ol div section article main body blockquote".split())
@@ -297,7 +299,7 @@ def main_body(page: str) -> list[str]:
     best, stack = body, [body]
     while stack:
         n = stack.pop()
-        if n.sum > best.sum:
+        if n.sum > best.sum and n.tag not in PARTS:
             best = n
         stack += [k for k in n.kids if isinstance(k, Node) and not k.cut and k.tag not in INLINE]
     threshold, up = best.density, best
