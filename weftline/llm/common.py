@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -93,8 +92,3 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

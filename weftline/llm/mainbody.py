@@ -275,12 +275,6 @@ def emit(node: Node, threshold: float) -> list[str]:
     return blocks
 
 
-def _thread(node: Node) -> bool:
-    """Reader comments: several like blocks, each a short text with a reply control."""
-    kids = [k for k in node.kids if isinstance(k, Node) and k.tag not in INLINE and k.tag not in VOID]
-    return len(kids) >= 2 and sum(k.cut for k in kids) == len(kids)
-
-
 def main_body(page: str) -> list[str]:
     """The text blocks of the main body, in order; none where the page has no article."""
     root = parse(page)
