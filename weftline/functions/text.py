@@ -66,9 +66,8 @@ def occurrences(text: Column | str, what: str) -> Column:
     return ((F.length(t) - F.length(F.replace(t, F.lit(what), F.lit("")))) / len(what)).cast("int")
 
 
-#: Letters with marks and what remains without them, for the Latin letters of the languages at hand. The general case
-#: is fold_marks, a vectorised function over Python's Unicode tables.
 def fold_latin(text: Column | str) -> Column:
+    """Latin letters without their marks, in the JVM; the table follows from Unicode's. fold_marks does any script."""
     import unicodedata
 
     table = {}

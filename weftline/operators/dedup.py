@@ -122,7 +122,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rep = base.groupBy("h").agg(F.min("id").alias("rep"), F.first("norm").alias("norm"))
     nodes = cut(rep.select("h", F.col("rep").alias("id"), T.ngrams(T.words("norm"), n).alias("g")))
     links = cut(similar_pairs(nodes, "id", "g", threshold))
-    comp = components(nodes, links)
+    comp = components(nodes, links) if links.limit(1).count() else nodes.select("id", F.col("id").alias("component"))
     degree = links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     per = nodes.select("h", "id").join(comp, "id").join(degree, "id", "left").select("h", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return base.select("id", "h").join(per, "h").select(F.col("id").alias(id_col), F.col("component").alias("class_id"), "n_links")

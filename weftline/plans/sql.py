@@ -131,6 +131,7 @@ AGG4_SUCCESS_RATE = f"WITH {_U} SELECT run_id, count(*) AS n_generated, CAST(coa
 AGG5_LENGTH_SUMMARY = f"WITH {_U}, v AS (SELECT *, coalesce(reward > 0, false) AS ok FROM u) SELECT run_id, round(coalesce(avg(length(response)), 0), 6) AS mean_length, round(coalesce(avg(length(response)) FILTER (ok), 0), 6) AS mean_length_correct, round(coalesce(avg(length(response)) FILTER (NOT ok), 0), 6) AS mean_length_incorrect FROM v GROUP BY run_id"
 FLT11_KEPT_ROLLOUTS = "SELECT DISTINCT rollout_id FROM rollout WHERE reward > 0"
 AGG9_TIMING = "SELECT event_type, round(avg(value), 4) AS mean, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 4) AS deviation FROM events GROUP BY event_type"
+AGG10_AGG11_SHARES = "SELECT l_returnflag, round(CAST(sum(l_discount) AS DOUBLE) / CAST(sum(l_quantity) AS DOUBLE) * 100, 6) AS share, round(CAST(sum(l_quantity) AS DOUBLE) / CAST(sum(l_discount) AS DOUBLE), 4) AS speed_up, true AS is_nan FROM lineitem GROUP BY l_returnflag"
 SRT2_BEST_ROLLOUT = f"WITH {_U} SELECT run_id, arg_max(rollout_id, (reward, -rollout_id)) AS best, max(reward) AS reward FROM u WHERE reward IS NOT NULL GROUP BY run_id"
 
 _ARR = "arr AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, label - 4.5 AS adv FROM embeddings), el AS (SELECT vec_id, label, adv, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM arr)"

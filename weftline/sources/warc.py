@@ -117,6 +117,6 @@ def read_wet_text(spark: SparkSession, path: str) -> DataFrame:
     at = F.array_position(F.transform("l", lambda s: F.trim(s)), "")
     head = F.when(at > 0, F.slice("l", F.lit(1), at.cast("int") - 1)).otherwise(F.col("l"))
     body = F.when(at > 0, F.expr("slice(l, cast(array_position(transform(l, s -> trim(s)), '') as int) + 1, size(l))")).otherwise(F.array().cast("array<string>"))
-    pairs = F.transform(F.filter(head, lambda s: F.instr(s, ":") > 0), lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.trim(F.expr("substring(x, instr(x, ':') + 1)") if False else F.regexp_replace(s, r"^[^:]*:", "")).alias("v")))
+    pairs = F.transform(F.filter(head, lambda s: F.instr(s, ":") > 0), lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("v")))
     text = F.array_join(F.transform(F.filter(body, lambda s: F.trim(s) != ""), lambda s: F.concat(s, F.lit("\n"))), "")
     return x.select(F.map_from_entries(F.array_distinct(pairs)).alias("headers"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
