@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def test_merging_stops_when_no_pair_is_left():
     assert bpe.merge_words({}, 3) == []
 
 
+def test_merges_count_rare_words_of_large_texts(spark):
+    """Over a million pre-tokens, where single words are a smaller share than one in a million."""
+    rng = random.Random(4)
+    rare = ["".join(rng.choice("aabcé") for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    df = spark.createDataFrame([("low" + " low" * 39_999,)] * 30 + [(" ".join(rare),), ("",), (None,)], "text string")
+    counts = {r["tok"].encode(): r["n"] for r in bpe.pretoken_counts(df).collect()}
+    assert sum(counts.values()) > 1_200_000
+    want = bpe.merge_words(counts, 40)
+    assert len(want) == 40 and bpe.train(df, 257 + 40)[1] == want
+    assert bpe.train(df, 257 + 40, max_words=0, top=50)[1] == want
+
+
 def record(kind, uri, body, http=True):
     block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" if http else b"") + body
     head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(block)}\r\n\r\n".encode()

@@ -1,16 +1,21 @@
-"""Byte-pair tokenizer: counting in Spark, merging on the driver over the distinct words, encoding in Arrow batches."""
+"""Byte-pair tokenizer: counting in Spark, merging over all distinct words on the driver or, where they are many, in Spark, encoding
+in Arrow batches."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import takewhile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from weftline.operators.common import cut, spread
+
 # Fixed value: the pre-token pattern, in Java's syntax and in that of the regex module alike.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -83,20 +88,119 @@ def merge_words(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, by
     return merges
 
 
-def train(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = ("<|endoftext|>",), text_col: str = "text", least_share: float = 1e-6) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]]]:
-    """(vocab, merges). Words are counted over all texts; those that make up at least `least_share` of all words come to
-    the driver, 1 / least_share of them at most."""
-    counts = pretoken_counts(df, text_col, specials).persist()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") >= F.lit(total * least_share)).collect()
-    counts.unpersist()
+def _merged(parts: list[bytes], at: dict[tuple[bytes, bytes], list[int]]) -> list[bytes]:
+    """A word after merges, in their order; at: the places of each pair in the list of merges."""
+    last = -1
+    while len(parts) > 1:
+        now = min((i for p in zip(parts, parts[1:]) for i in at.get(p, ()) if i > last), default=None)
+        if now is None:
+            break
+        out, k = [], 0
+        while k < len(parts):
+            if k + 1 < len(parts) and now in at.get((parts[k], parts[k + 1]), ()):
+                out.append(parts[k] + parts[k + 1])
+                k += 2
+            else:
+                out.append(parts[k])
+                k += 1
+        parts, last = out, now
+    return parts
+
+
+def _places(merges: list[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], list[int]]:
+    at: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+    for i, p in enumerate(merges):
+        at[p].append(i)
+    return dict(at)
+
+
+def _merge(words: DataFrame, merges: list[tuple[bytes, bytes]]) -> DataFrame:
+    """(parts, n) after merges; words that are one token are left out, having no pair."""
+    at = _places(merges)
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, n) for p, n in ((_merged(p, at), n) for p, n in zip(b["parts"].to_pylist(), b["n"].to_pylist())) if len(p) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.list_(pa.binary())), pa.array([n for _, n in rows], pa.int64())], ["parts", "n"])
+
+    return words.mapInArrow(run, "parts array<binary>, n bigint")
+
+
+def _top_pairs(words: DataFrame, merges: list[tuple[bytes, bytes]], k: int) -> list[tuple[tuple[bytes, bytes], int]]:
+    """The k most frequent pairs of the words after merges, ties by the greatest bytes."""
+    at = _places(merges)
+
+    def run(batches):
+        total: Counter = Counter()
+        for b in batches:
+            for parts, n in zip(b["parts"].to_pylist(), b["n"].to_pylist()):
+                parts = _merged(parts, at)
+                for p in zip(parts, parts[1:]):
+                    total[p] += n
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in total], pa.binary()), pa.array([p[1] for p in total], pa.binary()), pa.array(list(total.values()), pa.int64())], ["left", "right", "n"])
+
+    pairs = words.mapInArrow(run, "left binary, right binary, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return [((bytes(r["left"]), bytes(r["right"])), r["n"]) for r in pairs.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(k).collect()]
+
+
+def settled(ranked: list[tuple[tuple[bytes, bytes], int]], known: set[bytes], whole: bool) -> list[tuple[bytes, bytes]]:
+    """The first pairs of a ranking that are the next merges whatever else is counted. A merge (a, b) lowers the counts of
+    (x, a) and (b, y) only, and no pair that it makes is more frequent than one of those: the pairs before the first of
+    their counts keep theirs. The list ends with a merge that can add to existing pairs or overlap itself. whole: no pair
+    is missing from the ranking; else those of its last count may be."""
+    out: list[tuple[bytes, bytes]] = []
+    lefts: set[bytes] = set()
+    rights: set[bytes] = set()
+    for i, ((a, b), n) in enumerate(ranked):
+        if out:
+            if not whole and n == ranked[-1][1]:
+                break
+            if any(x in rights or y in lefts for (x, y), _ in takewhile(lambda r: r[1] == n, ranked[i:])):
+                break
+        out.append((a, b))
+        lefts.add(a)
+        rights.add(b)
+        if a == b or a + b in known:
+            break
+        known = known | {a + b}
+    return out
+
+
+def train(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = ("<|endoftext|>",), text_col: str = "text", max_words: int = 100_000, top: int = 1000) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]]]:
+    """(vocab, merges) over every distinct word of all texts. Up to `max_words` distinct words are merged on the driver. More
+    stay in Spark, with the same merges: each round counts all pairs, and of the `top` most frequent ones the driver takes
+    those that are settled."""
     vocab = initial_vocab(specials)
-    merges = merge_words({r["tok"].encode("utf-8", "surrogatepass"): r["n"] for r in rows}, max(0, vocab_size - len(vocab)))
+    counts = cut(pretoken_counts(df, text_col, specials).select(F.col("tok").cast("binary").alias("b"), "n"))
+    few = counts.limit(max_words + 1).collect()
+    if len(few) <= max_words:
+        merges = merge_words({bytes(r["b"]): r["n"] for r in few}, max(0, vocab_size - len(vocab)))
+    else:
+        merges = merge_in_rounds(counts, max(0, vocab_size - len(vocab)), top)
     for a, b in merges:
         vocab[len(vocab)] = a + b
     return vocab, merges
 
 
+def merge_in_rounds(counts: DataFrame, n_merges: int, top: int) -> list[tuple[bytes, bytes]]:
+    """The merges of merge_words for (b, n) rows, which stay in Spark."""
+    parts = F.transform(F.sequence(F.lit(1), F.octet_length("b")), lambda i: F.substring("b", i, F.lit(1)))
+    words = cut(spread(counts.filter(F.octet_length("b") > 1).select(parts.alias("parts"), "n")))
+    known = {bytes([i]) for i in range(256)}
+    merges: list[tuple[bytes, bytes]] = []
+    since = 0  # merges that the words hold
+    while len(merges) < n_merges:
+        ranked = _top_pairs(words, merges[since:], top)
+        if not ranked:
+            break
+        new = settled(ranked, known, len(ranked) < top)[: n_merges - len(merges)]
+        merges += new
+        known |= {a + b for a, b in new}
+        if len(merges) - since >= 50:
+            words, since = cut(_merge(words, merges[since:])), len(merges)
+    return merges
+
+
 class Tokenizer:
     """Encoding by rank: in each pre-token the pair of the lowest rank is merged first, the leftmost of equal ones."""
 
