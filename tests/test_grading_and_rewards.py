@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import grading as G
 from weftline.operators import joins, rewards, sampling
+from weftline.plans import registry
 
 
 @pytest.mark.parametrize(
@@ -95,3 +96,12 @@ def test_joins(spark):
     assert [(r["i"], r["right_o"]) for r in joins.first_match(a, b, "k", "o").collect()] == [(1, 4)]
     x, y = spark.createDataFrame([("p", 1.0), ("q", 2.0)], "n string, v double"), spark.createDataFrame([("p", 1.0), ("q", 2.1), ("r", 0.0)], "n string, v double")
     assert sorted(r["n"] for r in joins.state_difference(x, y, "n", "v").collect()) == ["q", "r"]
+
+
+def test_prompt_response_sums_every_label(spark, tmp_path):
+    """A prompt of 60 letters fills the first labels; those of the response follow."""
+    rows = [(1, "a" * 60, "bc"), (2, "a", "b" * 70), (3, "ab", None)]
+    spark.createDataFrame(rows, "example_id long, prompt string, response string").write.parquet(f"{tmp_path}/sft_example.parquet")
+    got = {r["example_id"]: r for r in registry.QUERIES["smp6_prompt_response"](spark, str(tmp_path)).collect()}
+    assert got[1]["label_sum"] == 59 * 97 + 98 + 99 and got[1]["response_label_sum"] == 98 + 99 and got[1]["n_response"] == 2
+    assert got[2]["label_sum"] == got[2]["response_label_sum"] == 70 * 98 and set(got) == {1, 2}

@@ -425,8 +425,9 @@ def smp6_prompt_response(spark, d):
     """Byte values of prompts and responses as ids."""
     x = texts(spark, d, "sft_example").filter("prompt is not null and response is not null")
     ids = lambda c: F.transform(F.split(F.col(c), ""), lambda ch: F.ascii(ch))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
     cols = sampling.prompt_response(ids("prompt"), ids("response"))
-    return x.select("example_id", F.size(cols["input_ids"]).alias("n_input"), F.size(F.filter(cols["response_mask"], lambda m: m)).alias("n_response"), F.aggregate(F.slice(cols["labels"], 1, 50), F.lit(0), lambda a, v: a + v).alias("label_sum"))
+    return x.select("example_id", F.size(cols["input_ids"]).alias("n_input"), F.size(F.filter(cols["response_mask"], lambda m: m)).alias("n_response"), total(cols["labels"]).alias("label_sum"), total(F.zip_with(cols["labels"], cols["response_mask"], lambda v, m: F.when(m, v).otherwise(0))).alias("response_label_sum"))
 
 
 @query
