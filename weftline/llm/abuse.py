@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import FUNCTION_SETS, WORD, bounded_sample, cut, map_arrow, spread
+from weftline.llm.common import FUNCTION_SETS, WORD, bounded_sample, map_arrow, spread
 from weftline.llm.linear import Linear, bucket, pack
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -41,18 +41,26 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+(?=[^\s])|\n\s*\n")
 ORDER = 6
 
 
+def word_grams(word: str, order: int = ORDER) -> list[str]:
+    """The n-grams of a word up to an order; ^ and $ bound it, and none ends with ^."""
+    s = "^" + word + "$"
+    return [s[i - k : i + 1] for i in range(1, len(s)) for k in range(min(order, i + 1))]
+
+
 class CharModel:
     """Character n-grams of words with stupid back-off; ^ and $ bound a word."""
 
-    def __init__(self, words: dict[str, float], order: int = ORDER):
+    def __init__(self, words: dict[str, float], order: int = ORDER, counts: dict[str, float] | None = None):
+        """counts: of n-grams besides those of the words."""
         self.order = order
         grams: dict[str, float] = defaultdict(float)
         for w, n in words.items():
-            s = "^" + w + "$"
-            for i in range(1, len(s)):
-                for k in range(min(order, i + 1)):
-                    grams[s[i - k : i + 1]] += n
-                    grams[s[i - k : i] + "\0"] += n
+            for g in word_grams(w, order):
+                grams[g] += n
+        for g, n in (counts or {}).items():
+            grams[g] += n
+        for g in list(grams):
+            grams[g[:-1] + "\0"] += grams[g]
         self.grams = dict(grams)
 
     def logp(self, context: str, c: str) -> float:
@@ -129,7 +137,7 @@ def _suspect(tok: str) -> bool:
     if _REPEAT.search(core) and letters == len(core):
         return True
     signs = sum(c in LEET or c in MASK for c in core if not c.isalpha())
-    if not signs or len(core) > 24 or len(core) < 3 and not letters:
+    if not signs or len(core) < 3 and not letters:
         return False
     if core.isdigit() or re.fullmatch(r"[\d.,:/%-]+[a-z]{0,3}|#\w+|\w+@\w.*|https?:.*|[$€£]\d[\d.,]*|\d+\$", core, re.I):
         return False
@@ -250,11 +258,12 @@ class Detector:
         return not any(w in SECOND for w in words) and any(w in _LEXSETS["c"] for w in words) and any(w in ("they", "them", "people", "those", "all", "alle", "tous", "todos", "tutti", "allemaal") for w in words)
 
 
-def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background: list[str] | None = None, rounds: int = 4, threshold: float = 0.5) -> Detector:
+def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background: list[str] | None = None, rounds: int = 4, threshold: float = 0.5, grams: dict[str, float] | None = None) -> Detector:
     """Train on (label, text) lines. A toxic line is one of several sentences: the likeliest one is its positive.
-    Sentences of the unlabelled background texts that hold no word of the lists and no group's name are taken as clean."""
+    Sentences of the unlabelled background texts that hold no word of the lists and no group's name are taken as clean.
+    grams: counts of the character n-grams of the corpus's words, beside or instead of the vocabulary."""
     vocab: Counter = Counter()
-    total = max(sum(vocabulary.values()), 1.0)
+    total = max(sum(vocabulary.values()) + (grams or {}).get("$", 0.0), 1.0)  # every word ends once
     for w, n in vocabulary.items():
         vocab[w] += n / total * 2000
     per: dict[str, Counter] = {"clean": Counter(), "toxic": Counter(), "nsfw": Counter()}
@@ -271,7 +280,7 @@ def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background:
         vocab[w] += 12
     for w in "a i y o".split():
         vocab[w] += 20
-    model = CharModel(vocab)
+    model = CharModel(vocab, counts={g: n / total * 2000 for g, n in (grams or {}).items()})
     rows: list[tuple[int, int, str]] = []
     for n, (label, text) in enumerate(lines):
         kind = {"clean": 0, "toxic": 1, "nsfw": 2}.get((label or "").replace("__label__", ""))
@@ -314,22 +323,22 @@ def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background:
     return Detector(model, groups, linear, threshold)
 
 
-def vocabulary(df: DataFrame, text_col: str = "text", least_share: float = 1e-5) -> dict[str, float]:
-    """Counts of the words that make up at least `least_share` of all words: at most 1 / least_share of them, however
-    large the corpus. Counted over all rows, with partial sums in each batch."""
+def corpus_grams(df: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """Counts of the character n-grams of all words of all rows, with partial sums in each batch."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        c: Counter = Counter()
+        words: Counter = Counter()
         for t in cols["text"]:
             if t:
-                c.update(WORD.findall(t.lower()))
-        return {"w": list(c), "n": list(c.values())}
+                words.update(WORD.findall(t.lower()))
+        c: Counter = Counter()
+        for w, n in words.items():
+            for g in word_grams(w):
+                c[g] += n
+        return {"g": list(c), "n": list(c.values())}
 
-    counts = map_arrow(spread(df.select(F.col(text_col).alias("text"))), run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = counts.filter(F.length("w") <= 24)
-    counts = cut(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r["w"]: float(r["n"]) for r in counts.filter(F.col("n") >= F.lit(total * least_share)).collect()}
+    counts = map_arrow(spread(df.select(F.col(text_col).alias("text"))), run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    return {r["g"]: float(r["n"]) for r in counts.collect()}
 
 
 def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = 20000, max_background: int = 600) -> DataFrame:
@@ -338,12 +347,12 @@ def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id",
 
     Null, blank or empty texts score 0; null ids are kept; repeated rows give repeated rows; extra columns are ignored;
     an empty table gives no rows. The classifier is fitted on at most `max_labelled` labelled rows (the lowest ids) and, as
-    certain negatives, the sentences of `max_background` texts chosen by hash; words are counted over all texts.
+    certain negatives, the sentences of `max_background` texts chosen by hash; the n-grams of words are counted over all texts.
     """
     lines = [(r["label"], r["text"]) for r in labelled.select("line_id", "label", "text").filter("label is not null and text is not null").orderBy("line_id").limit(max_labelled).collect()]
     text = F.col(text_col)
     chosen = bounded_sample(df.select(F.col(id_col).alias("id"), text.alias("text")).filter(text.isNotNull()), max_background, "id")
-    det = fit(lines, vocabulary(df, text_col), [r["text"] for r in chosen.collect()], threshold=threshold)
+    det = fit(lines, {}, [r["text"] for r in chosen.collect()], threshold=threshold, grams=corpus_grams(df, text_col))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         got = [det.score(t or "") for t in cols["text"]]
