@@ -86,6 +86,17 @@ def test_deobfuscation():
         assert abuse.restore(plain, det.model) == plain
 
 
+def test_rare_and_long_words_are_counted(spark):
+    """Words that are a smaller share than 1e-5, one of them of more than 24 letters."""
+    long = "rechtsschutzversicherungsgesellschaften"
+    df = spark.createDataFrame([("the quiet lens " * 5000,)] * 10 + [(f"zwyxil {long}",)], "text string")
+    grams = abuse.corpus_grams(df)
+    assert grams["$"] == 150_002 and grams["wyxil$"] == grams["aften$"] == 1
+    det = abuse.fit(LABELLED, {}, grams=grams)
+    assert det.model.logp("^zwyx", "i") > -1 and abuse._suspect(long.replace("e", "3"))
+    assert abuse.restore("z w y x i l", det.model) == "zwyxil"
+
+
 def test_abuse_scores(spark):
     rows = [(1, "Get lost, you m0r0n! " + prose("en", 2)), (2, "The Brackmen are v e r m i n, all of them should be driven out."), (3, "Hot n*de webcam shows. " + prose("en", 1)), (4, prose("en", 5)), (5, "Calling somebody a moron is never an argument."), (6, None), (7, ""), (None, prose("de", 2)), (8, "a " * 50000)]
     df = spark.createDataFrame([(a, b, "s" if a != 4 else None, "x") for a, b in rows], "record_id long, text string, source string, score string")
@@ -132,6 +143,16 @@ def test_made_defects_are_told_apart_on_held_out_pairs():
     assert right > 0.85
 
 
+def test_refusal_in_the_middle_of_a_long_response():
+    q = "Explain in a few sentences why the lens is so light."
+    model = pairs.fit([(f"{q} ({i})", prose("en", 2 + i % 4, i)) for i in range(260)])
+    sound = prose("en", 9, 5) + " " + prose("en", 4, 9)
+    late = prose("en", 9, 5) + " I'm sorry, but I can't help with that. " + prose("en", 4, 9)
+    assert len(prose("en", 9, 5).split()) > 60 and len(prose("en", 4, 9).split()) > 20
+    assert [d for d, _ in model.judge([(q, late), (q, sound)])] == ["refusal", None]
+    assert pairs.features(q, late, model.endings) != pairs.features(q, sound, model.endings)
+
+
 def test_gradient_of_the_recurrent_layer():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
