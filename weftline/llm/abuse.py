@@ -50,18 +50,19 @@ def word_grams(word: str, order: int = ORDER) -> list[str]:
 class CharModel:
     """Character n-grams of words with stupid back-off; ^ and $ bound a word."""
 
-    def __init__(self, words: dict[str, float], order: int = ORDER, counts: dict[str, float] | None = None):
-        """counts: of n-grams besides those of the words."""
+    def __init__(self, words: dict[str, float], order: int = ORDER, counts: dict[str, float] | None = None, scale: float = 1.0):
+        """counts: of n-grams besides those of the words, each taken times scale."""
         self.order = order
         grams: dict[str, float] = defaultdict(float)
         for w, n in words.items():
             for g in word_grams(w, order):
                 grams[g] += n
         for g, n in (counts or {}).items():
-            grams[g] += n
+            grams[g] += n * scale
         for g in list(grams):
             grams[g[:-1] + "\0"] += grams[g]
-        self.grams = dict(grams)
+        grams.default_factory = None
+        self.grams = grams
 
     def logp(self, context: str, c: str) -> float:
         penalty = 0.0
@@ -280,7 +281,7 @@ def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background:
         vocab[w] += 12
     for w in "a i y o".split():
         vocab[w] += 20
-    model = CharModel(vocab, counts={g: n / total * 2000 for g, n in (grams or {}).items()})
+    model = CharModel(vocab, counts=grams, scale=2000 / total)
     rows: list[tuple[int, int, str]] = []
     for n, (label, text) in enumerate(lines):
         kind = {"clean": 0, "toxic": 1, "nsfw": 2}.get((label or "").replace("__label__", ""))
@@ -338,7 +339,8 @@ def corpus_grams(df: DataFrame, text_col: str = "text") -> dict[str, float]:
         return {"g": list(c), "n": list(c.values())}
 
     counts = map_arrow(spread(df.select(F.col(text_col).alias("text"))), run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    return {r["g"]: float(r["n"]) for r in counts.collect()}
+    got = counts.toArrow()  # no row objects in the driver
+    return dict(zip(got["g"].to_pylist(), got["n"].to_pylist()))
 
 
 def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = 20000, max_background: int = 600) -> DataFrame:
