@@ -39,7 +39,8 @@ class Linear:
         n = len(starts) - 1
         out = np.zeros((n, self.w.shape[1]))
         if len(idx):
-            np.add.at(out, np.repeat(np.arange(n), np.diff(starts)), self.w[idx] * val[:, None])
+            some = np.nonzero(np.diff(starts))[0]  # rows without features would shift the sums
+            out[some] = np.add.reduceat(self.w[idx] * val[:, None], starts[some], axis=0)
         return out + self.b
 
     def probabilities(self, data: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -66,8 +67,8 @@ class Linear:
                 sub = (idx[at], val[at], np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
                 err = (self.probabilities(sub) - y[rows]) * weight[rows][:, None]
                 cols, inv = np.unique(idx[at], return_inverse=True)
-                grad = np.zeros((len(cols), self.w.shape[1]), np.float32)
-                np.add.at(grad, inv, (err[own] * val[at][:, None]).astype(np.float32))
+                each = err[own] * val[at][:, None]
+                grad = np.stack([np.bincount(inv, each[:, k], len(cols)) for k in range(each.shape[1])], 1).astype(np.float32)
                 grad += decay * self.w[cols]
                 g2[cols] += grad * grad
                 self.w[cols] -= rate * grad / np.sqrt(g2[cols])
