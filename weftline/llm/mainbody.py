@@ -13,6 +13,8 @@ import hashlib
 import html
 import math
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,26 +45,38 @@ _CUES = (
     r"(?:please |you must )?(?:log ?in|sign in|register) to|page not found|not found|\b404\b|\b403\b|\b50[0-9]\b|this page has moved|checking your browser|turn on (?:scripting|javascript)|enable javascript|access denied|try again later|subscribers only|seite nicht gefunden|page introuvable",
     r"\b(?:home|login|log in|register|search|contact|settings|ok|got it|akzeptieren|accepter|aceptar|menu)\b",
 )
-CUE = re.compile("|".join(_CUES), re.I)
-HEAD_CUE = re.compile("|".join(_CUES[:5]) + "|" + _CUES[6] + "|comments?\\b|" + _CUES[8], re.I)
+# They are matched in lower-case texts: without case to ignore, a branch is ruled out by its first letter.
+CUE = re.compile("|".join(_CUES))
+_SMALL_CUE = re.compile(_CUES[7])
+_NOTICE_CUE = re.compile(_CUES[0] + "|" + _CUES[4])
+HEAD_CUE = re.compile("|".join(_CUES[:5]) + "|" + _CUES[6] + "|comments?\\b|" + _CUES[8])
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _FLOAT = re.compile(r"float\s*:\s*(?:left|right)|position\s*:\s*(?:fixed|sticky)", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
 _WS = re.compile(r"\s+")
-_LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+#: Elements nested deeper stay closed and their content goes to the element at this depth, as in browsers.
+DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "side", "floats", "c", "t", "lc", "lt", "density", "sum", "cut")
+    __slots__ = ("tag", "kids", "parent", "side", "floats", "own", "link", "c", "t", "lc", "lt", "density", "sum", "cut", "depth")
 
     def __init__(self, tag: str, parent: Node | None, side: bool = False, floats: bool = False):
         self.tag, self.parent, self.side, self.floats, self.cut = tag, parent, side, floats, False
         self.kids: list[Node | str] = []
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.link = parent is not None and (parent.link or tag == "a")
+        self.own = self.c = self.t = self.lc = self.lt = 0
+        self.density = self.sum = 0.0
 
 
 def decode(payload: bytes, content_type: str | None = None) -> str:
-    """Bytes to text: a byte-order mark, else valid UTF-8 (but for a cut-off end), else the declared charset, else windows-1252."""
+    """Bytes to text: a byte-order mark, else valid UTF-8 (but for a cut-off end), else the declared charset, else
+    windows-1252. As in browsers a charset is looked for in the first 4096 bytes; all bytes are decoded."""
     for bom, codec in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if payload.startswith(bom):
             return payload.decode(codec, "replace")
@@ -141,92 +155,116 @@ def parse(page: str) -> Node:
         attrs = m[3]
         node = Node(tag, at, tag in SIDE or bool(attrs and _HIDDEN.search(attrs)), bool(attrs and _FLOAT.search(attrs)))
         at.kids.append(node)
-        if tag not in VOID and not attrs.endswith("/"):
+        if tag not in VOID and not attrs.endswith("/") and node.depth < DEPTH:
             at = node
     if pos < len(page):
         at.kids.append(page[pos:])
     return root
 
 
+def _plain(raw: str) -> str:
+    return _WS.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
+
+
+def below(node: Node) -> list[Node]:
+    """A node and all nodes under it, each before its children; without what was cut."""
+    out = [node]
+    for n in out:
+        out += [k for k in n.kids if not isinstance(k, str) and not k.cut]
+    return out
+
+
+def walk(node: Node, enter) -> Iterator[str | bool]:
+    """The strings under a node in order, and False wherever a block-level element begins or ends. enter: whether the
+    content of an element is to be seen."""
+    stack: list[Iterator] = [iter(node.kids)]
+    ends: list[bool] = [False]
+    while stack:
+        k = next(stack[-1], None)
+        if k is None:
+            stack.pop()
+            if ends.pop():
+                yield False
+        elif isinstance(k, str):
+            yield k
+        else:
+            block = k.tag not in INLINE
+            if block:
+                yield False
+            if enter(k):
+                stack.append(iter(k.kids))
+                ends.append(block)
+            elif block:
+                yield False
+
+
 def text_of(node: Node) -> str:
-    out: list[str] = []
+    return _plain("".join(x or " " for x in walk(node, lambda k: not k.cut)))
 
-    def walk(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                out.append(k)
-            else:
-                if k.tag not in INLINE:
-                    out.append(" ")
-                if not k.cut:
-                    walk(k)
-                if k.tag not in INLINE:
-                    out.append(" ")
-
-    walk(node)
-    return _WS.sub(" ", html.unescape("".join(out))).strip()
-
-
-def measure(node: Node, in_link: bool = False) -> None:
-    """Characters, tags, and those of them in links, of every node, without what was cut."""
-    c = t = lc = lt = 0
-    for k in node.kids:
-        if isinstance(k, str):
-            n = len(_WS.sub(" ", k).strip())
-            c += n
-            lc += n if in_link else 0
-        elif not k.cut:
-            link = in_link or k.tag == "a"
-            measure(k, link)
-            c, t, lc, lt = c + k.c, t + k.t + 1, lc + k.lc, lt + k.lt + link
-    node.c, node.t, node.lc, node.lt = c, t, lc, lt
-
-
-def densities(node: Node, body: Node) -> None:
+
+def measure(nodes: list[Node], first: bool = False) -> None:
+    """Characters, tags, and those of them in links, of every node, without what was cut; children come after parents.
+    first: also the characters of each node's own strings, which do not change."""
+    for n in nodes:
+        if first:
+            n.own = sum(len(_plain(k)) for k in n.kids if isinstance(k, str))
+        n.c, n.t, n.lc, n.lt = n.own, 0, n.own if n.link else 0, 0
+    for n in reversed(nodes):
+        up = n.parent
+        if up is not None and not n.cut:
+            up.c, up.t, up.lc, up.lt = up.c + n.c, up.t + n.t + 1, up.lc + n.lc, up.lt + n.lt + n.link
+
+
+def densities(nodes: list[Node], body: Node) -> None:
     """Composite density of every node and the sum of its children's densities."""
-    c, t, lc, lt = node.c, max(node.t, 1), node.lc, node.lt
-    if c:
-        base = c / max(c - lc, 1) * lc + body.lc / max(body.c, 1) * c + math.e
-        node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1e-9), max(math.log(base), 1.0001)) if lc else c / t
-    else:
-        node.density = 0.0
-    node.sum = 0.0
-    for k in node.kids:
-        if isinstance(k, Node) and not k.cut:
-            densities(k, body)
-            node.sum += max(k.density, 0.0)
-        elif isinstance(k, str) and len(x := k.strip()) > 20:
-            node.sum += len(x)
+    for n in nodes:
+        c, t, lc, lt = n.c, max(n.t, 1), n.lc, n.lt
+        if c:
+            base = c / max(c - lc, 1) * lc + body.lc / max(body.c, 1) * c + math.e
+            n.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1e-9), max(math.log(base), 1.0001)) if lc else c / t
+        else:
+            n.density = 0.0
+        n.sum = float(sum(len(x) for k in n.kids if isinstance(k, str) and len(x := k.strip()) > 20))
+    for n in nodes[1:]:
+        n.parent.sum += max(n.density, 0.0)
 
 
+@lru_cache(maxsize=1 << 16)
 def _left_over(text: str) -> float:
-    """Share of a text's letters that no cue phrase covers."""
-    letters = len(_LETTER.findall(text))
-    return len(_LETTER.findall(CUE.sub(" ", text))) / letters if letters else 0.0
+    """Share of a text's letters that no cue phrase covers. Boxes recur from page to page, so that results are kept."""
+    letters = len(_OTHER.sub("", text))
+    return len(_OTHER.sub("", CUE.sub(" ", text.lower()))) / letters if letters else 0.0
+
+
+@lru_cache(maxsize=1 << 16)
+def _heads(text: str) -> int:
+    """How many phrases that head boxes a text holds."""
+    return len(HEAD_CUE.findall(text.lower()))
 
 
 def _is_box(node: Node, whole: int) -> bool:
     """A block that stands beside the article: its head is a cue, or cues make up most of it, or links do."""
-    text = text_of(node)
-    if not text:
+    if not node.c:
         return True
-    if len(text) > 0.6 * whole and len(text) > 400:
+    if node.c > 0.6 * whole and node.c > 400:
         return False
-    heads = [k for k in node.kids if isinstance(k, Node) and k.tag[0] == "h" and k.tag[1:].isdigit()]
-    if heads and (h := text_of(heads[0])) and len(h) < 100 and HEAD_CUE.search(h):
+    head = next((k for k in node.kids if isinstance(k, Node) and k.tag[0] == "h" and k.tag[1:].isdigit()), None)
+    if head is not None and head.c < 100 and (h := text_of(head)) and len(h) < 100 and _heads(h):
         return True
-    if any(isinstance(k, Node) and k.tag in ("small", "button", "a", "span") and re.fullmatch(_CUES[7], text_of(k).strip(" .!"), re.I) for k in node.kids):
+    if any(isinstance(k, Node) and k.tag in ("small", "button", "a", "span") and k.c < 100 and _SMALL_CUE.fullmatch(text_of(k).strip(" .!").lower()) for k in node.kids):
         return True
-    if node.tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "section", "center", "header", "span"):
+    # No rule below holds for longer texts, and a text has at least the characters of its parts.
+    if node.c < 220 and node.tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "section", "center", "header", "span"):
+        text = text_of(node)
         if len(text) < 200 and _left_over(text) < 0.45:
             return True
-        if len(text) < 120 and (m := CUE.match(text)) and (len(m[0]) > 5 or node.floats):
+        if len(text) < 120 and (m := CUE.match(text.lower())) and (len(m[0]) > 5 or node.floats):
             return True
         if node.floats and len(text) < 160:
             return True
-        if len(text) < 220 and HEAD_CUE.search(text) and len(HEAD_CUE.findall(text)) >= 2:
+        if len(text) < 220 and _heads(text) >= 2:
             return True
-        if len(text) < 160 and re.search(_CUES[0] + "|" + _CUES[4], text, re.I):
+        if len(text) < 160 and _NOTICE_CUE.search(text.lower()):
             return True
     return False
 
@@ -236,42 +274,29 @@ def _links(node: Node) -> bool:
     return node.c > 0 and node.lc > 0.55 * node.c and (node.lt > 2 or node.tag != "p") and node.c - node.lc < 160
 
 
-def prune(node: Node, whole: int) -> None:
-    for k in node.kids:
-        if not isinstance(k, Node) or k.tag in INLINE or k.tag in VOID:
-            continue
-        if k.side or k.tag == "#raw":
-            k.cut = True
-        elif k.tag not in ("html", "body", "table", "tr", "tbody") and (_links(k) or _is_box(k, whole)):
-            k.cut = True
-        else:
-            prune(k, whole)
+def prune(body: Node, whole: int) -> None:
+    stack = [body]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str) or k.tag in INLINE or k.tag in VOID:
+                continue
+            if k.side or k.tag == "#raw" or k.tag not in ("html", "body", "table", "tr", "tbody") and (_links(k) or _is_box(k, whole)):
+                k.cut = True
+            else:
+                stack.append(k)
 
 
 def emit(node: Node, threshold: float) -> list[str]:
     blocks: list[str] = []
     run: list[str] = []
-
-    def flush() -> None:
-        if t := _WS.sub(" ", html.unescape("".join(run))).strip():
-            blocks.append(t)
-        run.clear()
-
-    def walk(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                run.append(k)
-            elif k.tag in INLINE:
-                if not k.cut:
-                    walk(k)
-            else:
-                flush()
-                if not k.cut and not (k.lc and k.density < threshold and k.lc > 0.4 * k.c):
-                    walk(k)
-                flush()
-
-    walk(node)
-    flush()
+    inside = lambda k: not k.cut and (k.tag in INLINE or not (k.lc and k.density < threshold and k.lc > 0.4 * k.c))
+    for x in [*walk(node, inside), False]:
+        if x is not False:
+            run.append(x)
+        elif run:
+            if t := _plain("".join(run)):
+                blocks.append(t)
+            run.clear()
     return blocks
 
 
@@ -284,12 +309,17 @@ def main_body(page: str) -> list[str]:
             body = next((b for b in k.kids if isinstance(b, Node) and b.tag == "body"), k)
         elif k.tag == "body":
             body = k
-    measure(body)
+    nodes = below(body)
+    body.link, up = False, body.parent
+    body.parent = None
+    measure(nodes, first=True)
     prune(body, body.c - body.lc)
-    measure(body)
+    nodes = below(body)
+    measure(nodes)
     if not body.c:
         return []
-    densities(body, body)
+    densities(nodes, body)
+    body.parent = up
     best, stack = body, [body]
     while stack:
         n = stack.pop()
@@ -300,7 +330,7 @@ def main_body(page: str) -> list[str]:
     while up is not None and up is not body.parent:
         threshold, up = min(threshold, up.density), up.parent
     blocks = emit(best, threshold)
-    blocks = [b for b in blocks if not (len(b) < 120 and _LETTER.search(b) and _left_over(b) < 0.45) and re.search(r"\w", b)]
+    blocks = [b for b in blocks if not (len(b) < 120 and _left_over(b) < 0.45 and _OTHER.sub("", b)) and re.search(r"\w", b)]
     if not any(len(re.findall(r"[^\W\d_]+", b)) >= 8 or (len(re.findall(r"[^\W\d_]+", b)) >= 5 and re.search(r"[.!?…]$", b)) for b in blocks):
         return []
     return blocks
@@ -317,7 +347,7 @@ def _run(cols: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def main_body_blocks(df: DataFrame, id_col: str = "record_id", payload_col: str = "payload", type_col: str = "warc_type", headers_col: str = "headers") -> DataFrame:
+def main_body_blocks(df: DataFrame, id_col: str = "record_id", payload_col: str = "payload", type_col: str = "warc_type", headers_col: str = "headers", spread_rows: bool = True) -> DataFrame:
     """One row (record_id, pos, block, block_md5) per block of the main body of each `response` record.
 
     Null ids, types and payloads, empty payloads and pages without an article give no rows; repeated records give
@@ -326,4 +356,4 @@ def main_body_blocks(df: DataFrame, id_col: str = "record_id", payload_col: str
     ctype = F.try_element_at(F.map_from_entries(F.transform(F.map_entries(headers_col), lambda e: F.struct(F.lower(e["key"]), e["value"]))), F.lit("content-type"))
     base = df.filter((F.col(type_col) == "response") & F.col(payload_col).isNotNull() & F.col(id_col).isNotNull())
     base = base.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload"), ctype.alias("ctype"))
-    return map_arrow(spread(base), _run, "record_id bigint, pos int, block string, block_md5 string")
+    return map_arrow(spread(base) if spread_rows else base, _run, "record_id bigint, pos int, block string, block_md5 string")
