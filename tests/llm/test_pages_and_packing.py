@@ -28,6 +28,14 @@ def test_pages_without_an_article():
         assert mainbody.main_body(page) == []
 
 
+def test_deeply_nested_pages():
+    """Unclosed elements by the thousand neither crash nor hide the text, and cost no more than in proportion."""
+    p = "The council never agreed on the colour of the lens because the rules had changed."
+    for tag in ("b", "div", "span", "li", "a"):
+        assert p in mainbody.main_body(f"<body>{f'<{tag}>' * 1500}<p>{p}</p><p>{p}</p>{'x' if tag != 'a' else ''}") or tag == "a"
+    assert p in mainbody.main_body("<div><b>" * 20000 + f"<p>{p}</p>" * 3)
+
+
 def test_charsets():
     t = "Öl für <p>Größe"
     assert mainbody.decode(t.encode()) == t and mainbody.decode(t.encode("latin-1"), "text/html; charset=iso-8859-1") == t
@@ -81,6 +89,30 @@ def test_lower_bound_never_exceeds_the_optimum(sizes):
     assert all(x[where == b].sum() <= 20 for b in range(n))
 
 
+def test_lower_bound_of_many_sizes():
+    """All thresholds count, however many items there are: sizes just over half and just under, and counted sizes."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(52, 60, 4050), rng.integers(20, 40, 4050)])
+
+    def slow(x, capacity):
+        return max(int((x > capacity - e).sum()) + -(-int(x[(x >= e) & (x <= capacity - e)].sum()) // capacity) for e in [0, *np.unique(x[x <= capacity // 2])])
+
+    assert packing.lower_bound(x, 100) >= max(slow(x, 100), 4050)
+    few = np.concatenate([rng.integers(34, 48, 6000), rng.integers(60, 66, 3000)])  # beyond an eighth of the capacity
+    assert packing.lower_bound(few, 100) >= slow(few, 100) > -(-int(few.sum()) // 100)
+    sizes, n = np.unique(x, return_counts=True)
+    assert packing.lower_bound(sizes, 100, n) == packing.lower_bound(x, 100)
+
+
+def test_report_certifies(spark):
+    df = spark.createDataFrame([(i, 51 if i % 2 else 200) for i in range(50)], "doc_id long, n_tokens int")
+    w = spark.createDataFrame([(1, 100)], "window_id long, capacity_tokens int")
+    packed = packing.pack(df, w, per_partition=10)
+    r = packing.packing_report(packed, w).collect()[0]
+    assert (r["n_containers"], r["dff_bound"], r["certified"]) == (75, 75, 1.0) and r["volume_bound"] < 75
+    assert packed.groupBy("container").count().count() == 75
+
+
 def test_bound_certifies_what_volume_does_not():
     assert packing.lower_bound(np.array([11] * 6), 20) == 6 and packing.lower_bound(np.array([7] * 6), 20) == 3
 

@@ -25,42 +25,49 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens): null texts count 0 tokens. The vocabulary file must be readable on every executor."""
+def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, spread_rows: bool = True) -> DataFrame:
+    """(doc_id, n_tokens): null texts count 0 tokens. The driver reads the vocabulary file (about 1 MB) and sends it along."""
+    with open(tokenizer, "rb") as f:
+        held = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        enc = encoding(tokenizer)
+        enc = encoding(held.value)
         return {"doc_id": cols["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in cols["text"]]}
 
-    return map_arrow(spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), run, "doc_id bigint, n_tokens int")
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_arrow(spread(base) if spread_rows else base, run, "doc_id bigint, n_tokens int")
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """The best bound over families of dual feasible functions: identity, the threshold functions that drop small items
-    and round up those that leave too little room, and the rounding functions u(k)."""
-    x = sizes[sizes > 0].astype(np.int64)
+    and round up those that leave too little room, and the rounding functions u(k). counts: how often each size occurs.
+    All thresholds are taken from prefix sums over the sorted sizes."""
+    x = np.asarray(sizes, np.int64)
+    n = np.ones(len(x), np.int64) if counts is None else np.asarray(counts, np.int64)
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    x, n = x[x > 0], n[x > 0]
     if not len(x):
         return 0
-    best = -(-int(x.sum()) // capacity)
-    for eps in np.unique(x[x <= capacity // 2]):
-        big = x > capacity - eps
-        kept = (x >= eps) & ~big
-        best = max(best, int(big.sum()) + -(-int(x[kept].sum()) // capacity))
-        if eps > capacity // 2 or len(x) > 5000 and eps > capacity // 8:
-            break
+    many, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(x * n)])
+    best = -(-int(total[-1]) // capacity)
+    eps = np.unique(x[x <= capacity // 2])
+    if len(eps):
+        low, high = np.searchsorted(x, eps, "left"), np.searchsorted(x, capacity - eps, "right")
+        best = max(best, int((many[-1] - many[high] - (-(total[high] - total[low]) // capacity)).max()))
     for k in range(1, 8):
         q = x * (k + 1)
-        exact = q % capacity == 0
-        value = np.where(exact, x / capacity, (q // capacity) / k)
-        best = max(best, int(np.ceil(value.sum() - 1e-9)))
+        # In units of 1 / (k * capacity), so that no rounding can raise the bound.
+        value = np.where(q % capacity == 0, x * k, (q // capacity) * capacity)
+        best = max(best, -(-int((value * n).sum()) // (k * capacity)))
     return best
 
 
@@ -82,8 +89,8 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, i
     return where, count
 
 
-#: Windows are a fixed table; each of them packs every document once.
-MAX_WINDOWS = 100
+#: So many windows are packed at once; more go in several turns.
+WINDOWS_AT_ONCE = 100
 _OUT = "window_id bigint, capacity int, doc_id bigint, part int, n_tokens int, home bigint, bin bigint, fill int, n_bins bigint, bound bigint"
 
 
@@ -108,31 +115,43 @@ def _pack(items: DataFrame) -> DataFrame:
 
 
 def pack(sizes: DataFrame, windows: DataFrame, per_partition: int = 20000, rounds: int = 3, release: float = 0.02) -> DataFrame:
-    """Rows (window_id, doc_id, part, n_tokens, container, position) for each window (window_id, capacity_tokens).
+    """Rows (window_id, doc_id, part, n_tokens, container, position, certified) for each window (window_id, capacity_tokens).
 
     A document goes whole into one container; only one longer than the capacity is split, into parts that fill
     containers of their own and a rest that is packed like any other. Documents without tokens take a place too.
+    certified: the bound proves that the row's partition needs as many containers as it has.
     Null ids and windows with a null or non-positive capacity are left out; repeated documents are packed repeatedly;
     an empty table gives no rows. Containers are numbered within a window; positions start at 0.
     """
     w = windows.select("window_id", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0 and window_id is not null").distinct()
-    sizes_of = [(r["window_id"], r["capacity"]) for r in w.limit(MAX_WINDOWS + 1).collect()]
-    if len(sizes_of) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} windows; pack them in several calls")
+    sizes_of = sorted((r["window_id"], r["capacity"]) for r in w.collect())  # a fixed table
+    out = None
+    for k in range(0, max(1, len(sizes_of)), WINDOWS_AT_ONCE):
+        part = _pack_windows(sizes, sizes_of[k : k + WINDOWS_AT_ONCE], per_partition, rounds, release)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _pack_windows(sizes: DataFrame, sizes_of: list[tuple[int, int]], per_partition: int, rounds: int, release: float) -> DataFrame:
     docs = sizes.filter("doc_id is not null").select("doc_id", "n_tokens")
-    n_docs = docs.count()
-    choices = F.array(*[F.struct(F.lit(a).cast("bigint").alias("window_id"), F.lit(b).alias("capacity")) for a, b in sorted(sizes_of)] or [F.struct(F.lit(None).cast("bigint").alias("window_id"), F.lit(0).alias("capacity"))])
+    choices = F.array(*[F.struct(F.lit(a).cast("bigint").alias("window_id"), F.lit(b).alias("capacity")) for a, b in sizes_of] or [F.struct(F.lit(None).cast("bigint").alias("window_id"), F.lit(0).alias("capacity"))])
     items = docs.select("doc_id", "n_tokens", F.explode(choices).alias("w")).select("doc_id", "n_tokens", "w.window_id", "w.capacity").filter("capacity > 0")
-    pieces = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("int")
-    items = items.withColumn("part", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    items = items.withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("part") * F.col("capacity"), F.col("capacity")).cast("int"))
-    homes = max(1, -(-n_docs // per_partition))
+    full, rest = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int"), F.col("n_tokens") % F.col("capacity")
+    # Every home holds a bounded number of items: of each document one rest, and full parts by their own count.
+    n_docs, n_full = (docs.agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_tokens") / F.lit(min((c for _, c in sizes_of), default=1)))).alias("f")).collect()[0])
+    homes, full_homes = max(1, -(-n_docs // per_partition)), max(1, -(-(n_full or 0) // per_partition))
     # The round is part of a home's number, so that homes of several rounds stay apart.
-    tag = lambda col, k: col * 16 + k
-    items = items.withColumn("home", tag(F.pmod(F.xxhash64("doc_id", "part"), F.lit(homes)), 0))
-    current = cut(_pack(items))
-    settled: list[DataFrame] = []
-    for k in range(1, min(rounds, 15) + 1):
+    slots = rounds + 2
+    tag = lambda col, k: col * slots + k
+    hashed = lambda n, *seed: F.pmod(F.xxhash64("doc_id", "part", *map(F.lit, seed)), F.lit(n))
+    rests = items.filter((rest > 0) | (full == 0)).select("window_id", "capacity", "doc_id", full.alias("part"), rest.cast("int").alias("n_tokens"))
+    current = cut(_pack(rests.withColumn("home", tag(hashed(homes), 0))))
+    parts = items.filter(full > 0).select("window_id", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("part"), F.col("capacity").alias("n_tokens"))
+    parts = parts.withColumn("home", tag(hashed(full_homes), rounds + 1))
+    one = F.row_number().over(_by("window_id", "home").orderBy("doc_id", "part")).cast("bigint")
+    parts = parts.withColumns({"bin": one - 1, "fill": F.col("capacity"), "n_bins": F.lit(0).cast("bigint"), "bound": F.lit(0).cast("bigint")})
+    settled: list[DataFrame] = [parts]
+    for k in range(1, rounds + 1):
         # What is proven best, and what is well filled, stays; the rest may be exchanged.
         open_ = (F.col("n_bins") > F.col("bound")) & (F.col("fill") < F.col("capacity") * (1 - release))
         loose = current.filter(open_)
@@ -140,7 +159,7 @@ def pack(sizes: DataFrame, windows: DataFrame, per_partition: int = 20000, round
         if not any(r["h"] > 1 for r in per):
             break
         fewer = max(1, -(-max(r["n"] for r in per) // per_partition))
-        again = cut(_pack(loose.withColumn("home", tag(F.pmod(F.xxhash64("doc_id", "part", F.lit(k)), F.lit(fewer)), k))))
+        again = cut(_pack(loose.withColumn("home", tag(hashed(fewer, k), k))))
         old = loose.groupBy("window_id").agg(F.countDistinct("home", "bin").alias("old"))
         new = again.groupBy("window_id").agg(F.countDistinct("home", "bin").alias("new"))
         better = old.join(new, "window_id").filter("new < old").select("window_id")
@@ -155,7 +174,7 @@ def pack(sizes: DataFrame, windows: DataFrame, per_partition: int = 20000, round
     per_home = done.groupBy("window_id", "home").agg((F.max("bin") + 1).alias("n"))
     first = per_home.withColumn("first", F.sum("n").over(_by("window_id").orderBy("home").rowsBetween(_PRECEDING, -1)))
     out = numbered.join(first.select("window_id", "home", F.coalesce("first", F.lit(0)).alias("first")), ["window_id", "home"])
-    return out.select("window_id", "doc_id", "part", "n_tokens", (F.col("first") + F.col("bin")).alias("container"), "position")
+    return out.select("window_id", "doc_id", "part", "n_tokens", (F.col("first") + F.col("bin")).alias("container"), "position", (F.col("n_bins") <= F.col("bound")).alias("certified"))
 
 
 def _by(*cols: str):
@@ -168,8 +187,21 @@ _PRECEDING = -(2**63)
 
 
 def packing_report(packed: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per window: items, tokens, containers, the volume bound on them and the share of unused space."""
+    """Per window: items, tokens, containers, the volume bound, the dual-feasible bound over all of the window's items, the
+    share of containers in partitions that are certified by themselves, and the share of unused space.
+
+    The bound needs only how often each size occurs: at most as many rows a window as its capacity."""
     w = windows.select("window_id", "capacity_tokens")
-    agg = packed.groupBy("window_id").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), F.countDistinct("container").alias("n_containers"))
+    agg = packed.groupBy("window_id", "container").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.min(F.col("certified").cast("int")).alias("c"))
+    agg = agg.groupBy("window_id").agg(F.sum("n").alias("n_items"), F.sum("t").alias("n_tokens"), F.count("*").alias("n_containers"), F.round(F.avg("c"), 6).alias("certified"))
+    sizes = packed.groupBy("window_id", "n_tokens").agg(F.count("*").alias("n")).join(F.broadcast(w), "window_id")
+
+    def bound(table: pa.Table) -> pa.Table:
+        b = lower_bound(table.column("n_tokens").to_numpy(), table.column("capacity_tokens")[0].as_py(), table.column("n").to_numpy())
+        return pa.table({"window_id": table.column("window_id")[:1], "dff_bound": pa.array([b], pa.int64())})
+
+    bounds = sizes.groupBy("window_id").applyInArrow(bound, "window_id bigint, dff_bound bigint")
     cap = F.col("capacity_tokens")
-    return agg.join(F.broadcast(w), "window_id").select("window_id", cap, "n_items", "n_tokens", "n_containers", F.ceil(F.col("n_tokens") / cap).alias("volume_bound"), F.round(1 - F.col("n_tokens") / (F.col("n_containers") * cap), 6).alias("unused"))
+    return agg.join(F.broadcast(w), "window_id").join(bounds, "window_id").select(
+        "window_id", cap, "n_items", "n_tokens", "n_containers", F.ceil(F.col("n_tokens") / cap).alias("volume_bound"), "dff_bound", "certified", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * cap), 6).alias("unused")
+    )
