@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import FUNCTION_SETS, LANGS, WORD, bounded_sample, label_code, map_arrow, spread
-from weftline.llm.structure import describe, fit_profiles, nearest
+from weftline.llm.structure import fit_profiles, kinds_of
 
 _SENTENCE = re.compile(r"(?<=[.!?…:])[\"'»”)]*\s+|\r?\n\s*\r?\n|\r?\n(?=\s*(?:[-*•]|\d+[.)])\s)")
 
@@ -55,6 +55,32 @@ class Direction:
             out[t] = h
         return out, saved
 
+    def states(self, x: np.ndarray, out: np.ndarray) -> None:
+        """The states alone, written into out (T, B, H): the same steps without new arrays."""
+        hid, batch = self.h, x.shape[1]
+        # A sigmoid is half a hyperbolic tangent of half its argument: the halves go into the weights.
+        cut = lambda m, k: np.ascontiguousarray(m[:, k * hid : (k + 1) * hid]) * np.float32(1.0 if k == 2 else 0.5)
+        (gz, gr, gn), (uz, ur, un) = ([cut(self.params[k], i) for i in range(3)] for k in "gu")
+        h, z, r, n, q, b = (np.zeros((batch, hid), np.float32) for _ in range(6))
+        for t in range(len(x)):
+            for gate, g, u in ((z, gz, uz), (r, gr, ur)):
+                np.take(g, x[t], axis=0, out=gate, mode="clip")
+                np.matmul(h, u, out=b)
+                gate += b
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            np.take(gn, x[t], axis=0, out=n, mode="clip")
+            np.matmul(h, un, out=q)
+            q += self.params["c"]
+            q *= r
+            n += q
+            np.tanh(n, out=n)
+            h -= n
+            h *= z
+            h += n
+            out[t] = h
+
     def backward(self, x: np.ndarray, saved: list, dout: np.ndarray) -> dict[str, np.ndarray]:
         hid, p = self.h, self.params
         grads = {k: np.zeros_like(v) for k, v in p.items()}
@@ -90,9 +116,23 @@ class ByteTagger:
         return np.concatenate([a, b[::-1]], 2), sa, sb
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
-        z = self.states(x)[0] @ self.v + self.b
-        z -= z.max(2, keepdims=True)
-        return z - np.log(np.exp(z).sum(2, keepdims=True))
+        hid = self.left.h
+        h = np.empty((*x.shape, hid), np.float32)
+        self.left.states(x, h)
+        z = h @ self.v[:hid]
+        self.right.states(x[::-1], h)
+        z += h[::-1] @ self.v[hid:]
+        z += self.b
+        top = z[..., 0].copy()
+        for k in range(1, z.shape[2]):
+            np.maximum(top, z[..., k], out=top)
+        z -= top[..., None]
+        e = np.exp(z)
+        total = e[..., 0].copy()
+        for k in range(1, z.shape[2]):
+            total += e[..., k]
+        z -= np.log(total)[..., None]
+        return z
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 128, rate: float = 0.01, seed: int = 3) -> float:
         """x: (N, T) bytes; y: (N, T) labels, -1 where none. Adam; returns the mean loss of the last tenth."""
@@ -130,7 +170,7 @@ class ByteTagger:
                 params[i] -= (lr * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return float(np.mean(losses[-max(1, steps // 10) :]))
 
-    def pool(self, pieces: list[bytes], batch: int = 256) -> np.ndarray:
+    def pool(self, pieces: list[bytes], batch: int = 512) -> np.ndarray:
         """Mean log-probabilities over the bytes of each piece, normalised: (n, labels). Pieces of like length share a batch."""
         out = np.zeros((len(pieces), len(self.b)))
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
@@ -149,8 +189,7 @@ class ByteTagger:
                     x[: len(pieces[i]), j] = np.frombuffer(pieces[i], np.uint8)
             lp = self.log_probs(x)
             lp[x == 256] = 0
-            for j, i in enumerate(rows):
-                out[i] = lp[:, j].sum(0) / max(len(pieces[i]), 1)
+            out[rows] = lp.sum(0) / np.maximum([len(pieces[i]) for i in rows], 1)[:, None]
         return out
 
 
@@ -249,7 +288,7 @@ def truly_in(parts: list[str], pooled: np.ndarray, least: float = 0.55) -> dict[
 SCHEMA = "record_id bigint, label string, label_lang string, kind string, lang string, confidence double, languages array<string>, segments array<struct<lang: string, confidence: double, n_chars: int>>, mixed boolean, relabel boolean"
 
 
-def languages(df: DataFrame, id_col: str = "record_id", text_col: str = "text", label_col: str = "lang", max_training: int = 3000, steps: int = 260) -> DataFrame:
+def languages(df: DataFrame, id_col: str = "record_id", text_col: str = "text", label_col: str = "lang", max_training: int = 3000, steps: int = 260, spread_rows: bool = True) -> DataFrame:
     """One row per record: the language with a confidence, the languages truly in it, its segments, and whether it is
     mixed or its label is missing or wrong (`relabel`).
 
@@ -266,7 +305,7 @@ def languages(df: DataFrame, id_col: str = "record_id", text_col: str = "text",
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("record_id", "label", "label_lang", "kind", "lang", "confidence", "languages", "segments", "mixed", "relabel")}
-        kinds = [None if not t or not t.strip() else nearest(describe(t), t, profiles)[0] for t in cols["t"]]
+        kinds = kinds_of(cols["t"], profiles)
         parts = [sentences(t) if k == "prose" and tagger else [] for t, k in zip(cols["t"], kinds)]
         pooled = tagger.pool([s.encode("utf-8", "replace") for p in parts for s in p]) if tagger and any(parts) else np.zeros((0, len(LANGS)))
         at = 0
@@ -288,4 +327,5 @@ def languages(df: DataFrame, id_col: str = "record_id", text_col: str = "text",
                 out[k].append(v)
         return out
 
-    return map_arrow(spread(df.select(F.col(id_col).alias("record_id"), text.alias("t"), label.alias("l"))), run, SCHEMA)
+    base = df.select(F.col(id_col).alias("record_id"), text.alias("t"), label.alias("l"))
+    return map_arrow(spread(base) if spread_rows else base, run, SCHEMA)
