@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,17 @@ def label_code(label: str | None) -> str | None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own where it names one, else (tests) a temporary one."""
+    """The shared folder that the session names in spark.checkpoint.dir. On one machine (local masters) a folder of its own
+    will do where none is named; on a cluster that would be lost with the machine, and is an error."""
     sc = spark.sparkContext
-    if (named := sc.getCheckpointDir()) is None:
+    if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
-    return sc.getCheckpointDir() or named
+        if named is None:
+            if not (sc.master or "").startswith("local[") and sc.master != "local":
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,8 +64,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a table in the shared folder: compressed, and read by column. Survives the loss of executors."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a filter. Its size does not grow with the data: a fuller filter lets more pass, and nothing is lost.
+FILTER_BITS = 1 << 24
+_IN_ROW = 32768
+
+
+def bit_filter(values: DataFrame, col: str) -> np.ndarray:
+    """A bitmap (2 MB) of the values of a bigint column. Every value is found in it, and few that were not there."""
+    x = F.pmod(F.col(col), F.lit(FILTER_BITS)) + 1
+    rows = values.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("b"))
+    out = np.zeros((FILTER_BITS // _IN_ROW, _IN_ROW // 8), np.uint8)
+    for r in rows.collect():  # at most 512 rows of 4 KB
+        out[r["k"] - 1] = np.frombuffer(r["b"], np.uint8)
+    return out.ravel()
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    x = np.mod(values, FILTER_BITS)
+    return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Small inputs come in fewer splits than there are cores; then spread the rows. Large inputs stay as they were read."""
+    """Small inputs come in fewer splits than there are cores; then the rows are dealt out, or one core would do the
+    work of all. Results do not depend on it; operators take `spread_rows=False` to read every input as it is split."""
     sc = df.sparkSession.sparkContext
     cores = sc.defaultParallelism
     if df.rdd.getNumPartitions() < cores:

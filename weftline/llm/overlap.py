@@ -5,21 +5,28 @@ training records; containment of the evaluation record in the training record ra
 quantities and question follows.
 
 Two kinds of n-gram are hashed. Runs of `n` words find copied wording; runs of two successive quantities find the
-same problem in other words, decorated or misspelt. A record is looked up by its rarest n-grams only (prefix
-filter): with containment at least t of an m-gram set, one of the rarest m - ceil(t*m) + 1 must hit, so the filter
-loses nothing, and n-grams that a third of all rows share are never joined.
+same problem in other words, decorated or misspelt (of records with fewer quantities, pairs of telling words). A record
+is looked up by its rarest n-grams only: with at least c of its m n-grams in the training record, one of the m - c + 1
+rarest is, so that the prefix loses nothing, and n-grams that a third of all rows share are hardly ever joined.
+
+Filters of a fixed size hold back, before any shuffle, what cannot hit: of the training records only n-grams move that
+some evaluation record is looked up by, and only texts that are candidates.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, map_arrow, spread
+from weftline.llm.common import bit_filter, map_arrow, passes, spread, stored
 
 # Number words.
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -30,7 +37,9 @@ _NUMWORD = "|".join(sorted([*_VALUE, *SCALES], key=len, reverse=True))
 _NUMRUN = re.compile(rf"\b(?:{_NUMWORD})(?:(?:[\s-]+and)?[\s-]+(?:{_NUMWORD}))*\b")
 _LATEX = re.compile(r"\\(?:text(?:bf|it|rm)?|emph|mathrm|mathbf)\s*\{([^{}]*)\}")
 _FRAC = re.compile(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}")
-_FIGURE = re.compile(r"\[asy\].*?\[/asy\]|<[^<>]{1,200}>|!\[[^\]]*\]\([^)]*\)", re.S)
+# Elements of HTML that a record's text may hold. Other signs < and > are inequalities.
+_ELEMENTS = "a|b|i|u|p|s|br|hr|em|strong|small|sub|sup|span|div|img|table|thead|tbody|tr|td|th|ul|ol|li|center|font|pre|code|h[1-6]|blockquote"
+_FIGURE = re.compile(rf"""\[asy\].*?\[/asy\]|</?(?:{_ELEMENTS})(?:\s+[a-z-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))*\s*/?>|!\[[^\]]*\]\([^)]*\)""", re.S | re.I)
 _TOKEN = re.compile(r"\d+(?:\.\d+)?|[^\W\d_]+|[-+*/^=<>]")
 _POSED = re.compile(r"[.?!;:\n]+(?=\s|$)|\n+")
 _FILLER = frozenset("the a an of to in on at is are was were be it its this that and or for with as by from each".split())
@@ -78,12 +87,17 @@ def quantities(toks: list[str]) -> list[str]:
 
 
 def grams(toks: list[str], n: int) -> tuple[list[int], list[int]]:
-    """Hashes of the word n-grams (of the whole record where it is shorter) and of the quantity pairs."""
+    """Hashes of the word n-grams (of the whole record where it is shorter) and of the quantity pairs; with fewer than two
+    quantities of the pairs of telling words that follow one another."""
     words = {" ".join(toks[i : i + n]) for i in range(max(1, len(toks) - n + 1))} if toks else set()
     q = quantities(toks)
-    pairs = {f"#{a} {b}" for a, b in zip(q, q[1:])} or ({f"#{q[0]}"} if q else set())
-    h = lambda s: xxhash.xxh64_intdigest(s) - 2**63
-    return sorted(map(h, words)), sorted(map(h, pairs))
+    if len(q) > 1:
+        pairs = {f"#{a} {b}" for a, b in zip(q, q[1:])}
+    else:
+        told = [t for t in toks if t not in _FILLER and not t[0].isdigit()]
+        pairs = {f"#{' '.join(q)} {a} {b}" for a, b in zip(["", *told], told)}
+    h = lambda s: xxhash.xxh32_intdigest(s)
+    return sorted(set(map(h, words))), sorted(set(map(h, pairs)))
 
 
 def _close(a: str, b: str) -> bool:
@@ -152,66 +166,104 @@ def same_problem(a: str, b: str, least: float = 0.5) -> bool:
 
 def _prepare(n: int):
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("rid", "side", "cls", "norm", "words", "pairs")}
-        for rid, side, text in zip(cols["rid"], cols["side"], cols["text"]):
+        out: dict[str, list] = {k: [] for k in ("rid", "side", "answer", "cls", "norm", "words", "pairs")}
+        for rid, side, text, answer in zip(cols["rid"], cols["side"], cols["text"], cols["answer"]):
             norm = " ".join(tokens(s := normal(text)))
             if not norm:
                 continue
             w, p = grams(tokens(s), n)
-            for k, v in zip(out, (rid, side, xxhash.xxh128_digest(norm), s, w, p)):
+            plain = " ".join(tokens(normal(answer))) if answer else None
+            for k, v in zip(out, (rid, side, plain, xxhash.xxh128_digest(norm), s, w, p)):
                 out[k].append(v)
         return out
 
     return run
 
 
+def _postings(rows: DataFrame, bits: np.ndarray, what: str) -> DataFrame:
+    """Of the n-grams that a filter lets pass: `count` (g, n), how many rows hold each, in partial sums; `place` (g, kind, m,
+    cls); `whole` (g, kind, all, cls) with all n-grams of the kind."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    schema = {"count": "g bigint, n bigint", "place": "g bigint, kind int, m int, cls binary", "whole": "g bigint, kind int, all array<bigint>, cls binary"}[what]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, name in enumerate(("words", "pairs")):
+                col = b.column(name)
+                m = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int32)
+                g = col.flatten().to_numpy(zero_copy_only=False)
+                at = np.nonzero(passes(held.value, g))[0]
+                if what == "count":
+                    u, n = np.unique(g[at], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["g", "n"])
+                    continue
+                own = np.repeat(np.arange(len(m)), m)[at]
+                row = pa.array(own, pa.int64())
+                third = pa.array(m[own]) if what == "place" else col.take(row)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at], pa.int64()), pa.array(np.full(len(at), kind, np.int32)), third, b.column("cls").take(row)], ["g", "kind", "m" if what == "place" else "all", "cls"])
+
+    return rows.select("cls", "words", "pairs").mapInArrow(run, schema)
+
+
 def cross_split_overlaps(
-    df: DataFrame, id_col: str = "problem_id", text_col: str = "problem", split_col: str = "split",
+    df: DataFrame, id_col: str = "problem_id", text_col: str = "problem", split_col: str = "split", answer_col: str = "answer",
     train: str = "train", evals: tuple[str, ...] = ("validation", "test"), n: int = 5, containment: float = 0.8, pair_containment: float = 0.5,
+    spread_rows: bool = True,
 ) -> DataFrame:
-    """Pairs (id_a, id_b), the smaller id first, of a training and an evaluation record that are the same problem.
+    """Pairs (id_a, id_b, containment, same_answer), the smaller id first, of a training and an evaluation record that are the
+    same problem. same_answer: whether their answers are written alike but for markup; null where one of them is missing.
 
     A pair is looked at where the training record holds at least `containment` of the evaluation record's word n-grams
     or `pair_containment` of its quantity pairs; the exact check decides. Null ids, splits or texts and blank texts never
     count; repeated rows give one pair; extra columns are ignored; an empty table gives no rows. Exact copies are one
     class until the end, so that a text that many rows share is compared once.
     """
-    base = df.select(F.col(id_col).alias("rid"), F.col(split_col).alias("split"), F.col(text_col).alias("text"))
+    answer = F.col(answer_col).cast("string") if answer_col in df.columns else F.lit(None).cast("string")
+    base = df.select(F.col(id_col).alias("rid"), F.col(split_col).alias("split"), F.col(text_col).alias("text"), answer.alias("answer"))
     base = base.filter(F.col("rid").isNotNull() & F.col("text").isNotNull() & F.col("split").isin(train, *evals))
-    base = base.select("rid", F.when(F.col("split") == train, 0).otherwise(1).alias("side"), "text")
-    prep = cut(map_arrow(spread(base), _prepare(n), "rid bigint, side int, cls binary, norm string, words array<bigint>, pairs array<bigint>"))
-    classes = cut(prep.dropDuplicates(["cls", "side"]).drop("rid"))
-    ev, tr = classes.filter("side = 1"), classes.filter("side = 0")
-
-    def long(side: DataFrame, name: str) -> DataFrame:
-        one = lambda col, kind: side.select(F.col("cls").alias(name), F.explode(col).alias("g"), F.lit(kind).alias("kind"), F.size(col).alias("m"))
-        return one("words", 0).unionByName(one("pairs", 1))
-
-    counts = long(tr, "t").groupBy("g").agg(F.count("*").alias("df"))
-    # An n-gram that no training record has cannot hit, yet keeps its place in the order: it is the rarest.
-    ranked = long(ev, "e").join(counts, "g", "left").select("e", "kind", "m", "g", F.coalesce("df", F.lit(0)).alias("df"))
+    base = base.select("rid", F.when(F.col("split") == train, 0).otherwise(1).alias("side"), "text", "answer")
+    prep = stored(map_arrow(spread(base) if spread_rows else base, _prepare(n), "rid bigint, side int, answer string, cls binary, norm string, words array<bigint>, pairs array<bigint>"))
+    tr = prep.filter("side = 0")
+    ev = stored(prep.filter("side = 1").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("norm", "words", "pairs")]))
+    # How many training records hold each n-gram of an evaluation record: any order of n-grams would do for the prefix.
+    wanted = bit_filter(ev.select(F.explode(F.concat("words", "pairs")).alias("g")), "g")
+    counts = stored(_postings(tr, wanted, "count").groupBy("g").agg(F.sum("n").alias("n")))
+    seen = _postings(ev, bit_filter(counts, "g"), "place").join(counts, "g")
     share = F.when(F.col("kind") == 0, F.lit(containment)).otherwise(F.lit(pair_containment))
-    keep = F.col("m") - F.ceil(F.col("m") * share).cast("int") + 1
-    arr = ranked.groupBy("e", "kind", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    prefix = arr.select("e", F.explode(F.slice("gs", F.lit(1), keep)).alias("x")).filter("x.df > 0").select("e", "x.g")
-    hits = prefix.join(long(tr, "t").select("t", "g"), "g").select("e", "t").distinct()
-    scored = hits.join(ev.select(F.col("cls").alias("e"), F.col("norm").alias("en"), F.col("words").alias("ew"), F.col("pairs").alias("ep")), "e")
-    scored = scored.join(tr.select(F.col("cls").alias("t"), F.col("norm").alias("tn"), F.col("words").alias("tw"), F.col("pairs").alias("tp")), "t")
+    ranked = seen.groupBy("cls", "kind", "m").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    # N-grams that no training record has cannot hit, yet are the rarest: they take the first places of the prefix.
+    keep = F.col("m") - F.ceil(F.col("m") * share).cast("int") + 1 - (F.col("m") - F.size("gs"))
+    prefix = ranked.filter(keep > 0).select("cls", "kind", F.explode(F.slice("gs", F.lit(1), keep)).alias("x"))
+    prefix = prefix.join(ev.select("cls", "words", "pairs"), "cls").select(F.col("cls").alias("e"), "kind", "x.g", F.when(F.col("kind") == 0, F.col("words")).otherwise(F.col("pairs")).alias("of_e"))
+    prefix = stored(prefix)
+    postings = _postings(tr, bit_filter(prefix, "g"), "whole").select("g", "kind", F.col("cls").alias("t"), F.col("all").alias("of_t")).distinct()
+    # Containment is counted where the pair is met, so that what only shares a frequent pair of quantities goes no further.
+    held = F.size(F.array_intersect("of_e", "of_t")) / F.size("of_e")
+    hits = prefix.join(postings, ["g", "kind"]).select("e", "t", "kind", held.alias("containment")).filter(F.col("containment") >= share)
+    hits = stored(hits.groupBy("e", "t").agg(F.max("containment").alias("containment")))
+    texts = _classes_of(tr, bit_filter(hits.select(F.xxhash64("t").alias("k")), "k")).dropDuplicates(["cls"])
+    scored = hits.join(ev.select(F.col("cls").alias("e"), F.col("norm").alias("en")), "e").join(texts.select(F.col("cls").alias("t"), F.col("norm").alias("tn")), "t")
 
     def verify(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"e": [], "t": [], "containment": []}
-        for e, t, en, tn, ew, ep, tw, tp in zip(*(cols[k] for k in ("e", "t", "en", "tn", "ew", "ep", "tw", "tp"))):
-            held = [len(set(a) & set(b)) / len(a) if a else 0.0 for a, b in ((ew, tw), (ep, tp))]
-            if (held[0] >= containment or held[1] >= pair_containment) and same_problem(en, tn):
-                for k, v in zip(out, (e, t, max(held))):
-                    out[k].append(v)
-        return out
+        same = [same_problem(a, b) for a, b in zip(cols["en"], cols["tn"])]
+        return {k: [v for v, x in zip(cols[k], same) if x] for k in ("e", "t", "containment")}
+
+    found = stored(map_arrow(scored, verify, "e binary, t binary, containment double"))
+    rows = lambda side, x: prep.filter(f"side = {side}").select(F.col("cls").alias(x), F.col("rid").alias("rid" + x), F.col("answer").alias("a" + x))
+    both = found.join(rows(1, "e"), "e").join(rows(0, "t"), "t").filter("ride <> ridt")
+    return both.groupBy(F.least("ride", "ridt").alias("id_a"), F.greatest("ride", "ridt").alias("id_b")).agg(F.max("containment").alias("containment"), F.max(F.col("ae") == F.col("at")).alias("same_answer"))
+
+
+def _classes_of(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The classes whose hash a filter lets pass."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = passes(held.value, b.column("k").to_numpy())
+            yield pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]).filter(pa.array(keep))
 
-    found = map_arrow(scored, verify, "e binary, t binary, containment double")
-    me = prep.filter("side = 1").select(F.col("cls").alias("e"), F.col("rid").alias("ride"))
-    mt = prep.filter("side = 0").select(F.col("cls").alias("t"), F.col("rid").alias("ridt"))
-    both = found.join(me, "e").join(mt, "t").filter("ride <> ridt")
-    return both.groupBy(F.least("ride", "ridt").alias("id_a"), F.greatest("ride", "ridt").alias("id_b")).agg(F.max("containment").alias("containment"))
+    return rows.select(F.xxhash64("cls").alias("k"), "cls", "norm").mapInArrow(run, "cls binary, norm string")
 
 
 def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str = "problem_id", split_col: str = "split", source_col: str = "source") -> DataFrame:

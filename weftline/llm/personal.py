@@ -184,14 +184,14 @@ def discover(cands: DataFrame, rounds: int = 4, unknown: float = 0.1, unknown_wo
     return pats, nodes
 
 
-def personal_items(df: DataFrame, id_col: str = "record_id", text_col: str = "text", rounds: int = 4, least: float = 0.5) -> DataFrame:
+def personal_items(df: DataFrame, id_col: str = "record_id", text_col: str = "text", rounds: int = 4, least: float = 0.5, spread_rows: bool = True) -> DataFrame:
     """One row (record_id, pii_type, pii_text, a, b, score) per place of an item; a, b: code-point offsets.
 
     Null ids and null, blank or empty texts give no rows; repeated rows give repeated rows; extra columns are ignored; an
     empty table gives no rows. Shuffles move candidates and counted edges, never texts.
     """
     base = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text")).filter("record_id is not null and text is not null")
-    cands = map_arrow(spread(base), _extract, "record_id bigint, type string, a int, b int, item string, nodes array<string>, w1 string, w2 string, seed double")
+    cands = map_arrow(spread(base) if spread_rows else base, _extract, "record_id bigint, type string, a int, b int, item string, nodes array<string>, w1 string, w2 string, seed double")
     cands = cut(cands)
     pats, nodes = discover(cands, rounds)
     # Distinct forms are scored once, so that a pattern or name that a third of all rows hold is no hot key.
