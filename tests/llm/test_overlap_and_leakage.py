@@ -15,6 +15,28 @@ def test_normal_form():
     assert n("Two of three") == "2 of 3" and n(r"\textbf{Go} \frac{1}{2}").split() == ["go", "1", "/", "2"]
 
 
+def test_inequalities_keep_their_quantities():
+    n = lambda s: overlap.normal(s).split()
+    assert n("a < 5 and b > 3") == ["a", "<", "5", "and", "b", ">", "3"] and n("if x<7 or y>2") == ["if", "x<7", "or", "y>2"]
+    assert n('old <b>lens</b> <span class="q">3</span><br/> four <img src=a.png alt="b"> 5') == ["old", "lens", "3", "4", "5"]
+
+
+def test_a_text_that_a_third_of_all_rows_hold(spark):
+    """Copies are one class: every pair of ids comes out, each text is compared once."""
+    p = "Let $a = 7783$ and $b = 12016$. What is 28 times their sum?"
+    rows = [(i, "train" if i % 10 else "test", "s", p if i % 3 == 0 else f"A printer makes {i + 100} sheets, then {i * 7 + 11} sheets. How many are there?", str(i % 2), "x") for i in range(300)]
+    got = {(r["id_a"], r["id_b"]): r["same_answer"] for r in overlap.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
+    hot = [i for i in range(0, 300, 3)]
+    want = {(min(i, j), max(i, j)) for i in hot for j in hot if i % 10 == 0 and j % 10}
+    assert set(got) == want and got[(0, 3)] is False and got[(0, 6)] is True
+
+
+def test_records_with_fewer_than_two_quantities(spark):
+    rows = [(1, "train", "s", "Problem 12. How many ways lead through the old garden of the 5 brothers?", None, "x"), (2, "test", "s", "How many ways lead thruogh the old garden of the 5 brothers?", None, "x"), (3, "test", "s", "Prove that the harmonic series of the reciprocal primes diverges slowly.", None, "x"), (4, "train", "s", "Prove that the harmonic series of the reciprocal primes diverges slowly", None, "x")]
+    got = {(r["id_a"], r["id_b"]) for r in overlap.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (3, 4) in got
+
+
 def test_same_problem_roles_and_questions():
     a = overlap.normal("A train leaves Lorn with 2161 sacks and picks up 972 sacks at each of 29 stops. How many sacks are on board at the end?")
     same = lambda t: overlap.same_problem(a, overlap.normal(t))
@@ -83,5 +105,30 @@ def test_alignment_and_passages():
     assert leakage.starts_of(3).tolist() == [0] and leakage.starts_of(17).tolist() == [0, 1] and leakage.starts_of(0).tolist() == []
     cuts = np.array([0, 3, 3, 40])
     ids = np.arange(40, dtype=np.uint32)
-    v, text, start = leakage.passages(ids, cuts, np.ones(1 << leakage.BITS, np.float32), np.random.default_rng(0).standard_normal((1 << leakage.BITS, 4)).astype(np.float32))
-    assert [(t, s) for t, s in zip(text, start)] == [(0, 0)] + [(2, int(s)) for s in leakage.starts_of(37)] and np.allclose(np.linalg.norm(v, axis=1), 1, atol=1e-3)
+    n = 1 << leakage.BITS
+    whole = np.zeros((n, 40), np.float32)
+    whole[:40] = np.eye(40) * 2
+    v, text, start = leakage.passages(ids, cuts, whole, np.full(n, 4.0, np.float32))
+    assert [(t, s) for t, s in zip(text, start)] == [(0, 0)] + [(2, s) for s in (0, 8, 16, 24)] and np.allclose(np.linalg.norm(v, axis=1), 1, atol=1e-3)
+    v, _, _ = leakage.passages(ids, cuts, whole[:, :20], np.full(n, 4.0, np.float32))
+    assert np.linalg.norm(v[0]) > 0.99 and np.linalg.norm(v[-1]) < 0.01, "what the space leaves out shortens a vector"
+
+
+def _docs_of(text, n):
+    filler = "The council never agreed on the colour of the lens and that was the end of it."
+    return [(d, f"{filler} {text if d < n else filler}\n{filler}") for d in range(40)]
+
+
+def test_items_with_equal_or_nearly_equal_texts(spark):
+    """One text under k ids in five documents gives 5 k rows; variants of an item are no instruction."""
+    rng = random.Random(8)
+    others = [(1000 + i, _item(i, rng)) for i in range(8)]
+    one = _item(99, rng)
+    docs = spark.createDataFrame(_docs_of(one.split(". ")[0] + ".", 5), "doc_id long, text string")
+    for k in (1, 2, 3, 6):
+        items = spark.createDataFrame([(i, one) for i in range(k)] + others, "item_id long, text string")
+        assert leakage.leaked_items(docs, items).count() == 5 * k
+    variants = [(i, one.replace("drops", f"drops{i}")) for i in range(6)]
+    assert leakage.leaked_items(docs, spark.createDataFrame(variants + others, "item_id long, text string")).count() == 30
+    turns = leakage.leaked_items(docs, spark.createDataFrame(variants + others, "item_id long, text string"), items_at_once=5)
+    assert turns.count() == 30
