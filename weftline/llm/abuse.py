@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ CONTEMPT = "vermin disease animals subhuman swamp thieves parasites cockroaches
 _LEXICON = {w: k for k, ws in (("c", CONTEMPT), ("s", SEXUAL), ("i", INSULTS)) for w in ws}
 _LEXSETS = {"i": frozenset(INSULTS), "s": frozenset(SEXUAL), "c": frozenset(CONTEMPT)}
 SECOND = frozenset("you your yours yourself u ya du dich dir dein deine deinen euch ihr tu te toi ton ta tes vous votre vos t tú ti tuyo usted eres sos tua tuo tuoi sei voi vostro você vocês teu seu te je jij jou jouw jullie".split())
+_PEOPLE = frozenset("they them people those all alle tous todos tutti allemaal".split())
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¡": "i", "ß": "sß"}
 MASK = "*#_•"
@@ -63,6 +65,18 @@ class CharModel:
             grams[g[:-1] + "\0"] += grams[g]
         grams.default_factory = None
         self.grams = grams
+        self.memo: dict[str, tuple[str, float]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
+
+    def decode(self, span: str) -> tuple[str, float]:
+        """The likeliest reading of a span; readings are remembered."""
+        if (got := self.memo.get(span)) is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            got = self.memo[span] = decode_span(span, self)
+        return got
 
     def logp(self, context: str, c: str) -> float:
         penalty = 0.0
@@ -132,6 +146,10 @@ def decode_span(span: str, model: CharModel, beam: int = 64) -> tuple[str, float
     return best[1], best[0] / max(len(best[1]), 1)
 
 
+_SIGN = re.compile("[" + re.escape("".join(LEET) + MASK) + "]")
+
+
+@lru_cache(maxsize=1 << 18)
 def _suspect(tok: str) -> bool:
     core = tok.strip(".!?…'’-")
     letters = sum(c.isalpha() for c in core)
@@ -149,62 +167,87 @@ def restore(sentence: str, model: CharModel, least: float = -3.2) -> str:
     """The sentence with its disguised spans decoded; a span without a likely reading stays as it is."""
 
     def spaced(m: re.Match) -> str:
-        text, lp = decode_span(m[0], model)
+        text, lp = model.decode(m[0])
         return text if lp >= least else m[0]
 
     def token(m: re.Match) -> str:
-        if not _suspect(m[0]):
+        if not repeats and m[0].isalpha() or not _suspect(m[0]):
             return m[0]
         lead = re.match(r"[.?…'’-]*", m[0])[0]
         tail = re.search(r"[.!?…'’-]*$", m[0])[0] if not re.search(r"[a-z]!+[a-z]", m[0]) else ""
         core = m[0][len(lead) : len(m[0]) - len(tail)] if tail else m[0][len(lead) :]
         if not core:
             return m[0]
-        text, lp = decode_span(core, model)
+        text, lp = model.decode(core)
         # Letters written three times and more occur in names too: only a clear reading counts.
         sure = -2.0 if core.isalpha() else least
         return lead + text + tail if lp >= sure else m[0]
 
     if _SPACED.search(sentence):
         sentence = _SPACED.sub(spaced, sentence)
-    return _TOKEN.sub(token, sentence)
+    # Letters alone hide nothing unless one is repeated.
+    repeats = bool(_REPEAT.search(sentence))
+    return _TOKEN.sub(token, sentence) if repeats or _SIGN.search(sentence) else sentence
 
 
 def sentences(text: str) -> list[str]:
     return [s for x in _SENTENCE.split(text) if (s := re.sub(r"\s+", " ", x).strip())]
 
 
+@lru_cache(maxsize=1 << 18)
+def _of_word(w: str) -> tuple[int, tuple[int, ...], str, bool]:
+    """Of a word: its bucket, those of its letter runs, its kinds in the lexicon, and whether it addresses somebody."""
+    runs = tuple(bucket("c " + w[i : i + 4], BITS) for i in range(len(w) - 3)) if len(w) > 4 else ()
+    return bucket("w " + w, BITS), runs, "".join(k for k, s in _LEXSETS.items() if w in s), w in SECOND
+
+
+_pairs: dict[tuple[str, str], int] = {}
+
+
+def _of_pair(a: str, b: str) -> int:
+    if (k := _pairs.get((a, b))) is None:
+        if len(_pairs) > 1_000_000:
+            _pairs.clear()
+        k = _pairs[a, b] = bucket(f"p {a} {b}", BITS)
+    return k
+
+
 def features(sentence: str, groups: frozenset[str]) -> dict[int, float]:
+    return word_features([w.lower() for w in WORD.findall(sentence)], groups)
+
+
+def word_features(words: list[str], groups: frozenset[str]) -> dict[int, float]:
     """Words, word pairs and letter runs, marks of address, group names and lexicon words, hashed."""
-    words = [w.lower() for w in WORD.findall(sentence)]
     out: dict[int, float] = {}
 
     def add(f: str, v: float = 1.0) -> None:
         k = bucket(f, BITS)
         out[k] = out.get(k, 0.0) + v
 
-    named = [w for w in words if w in groups]
     marked = ["@g" if w in groups else w for w in words]
+    get = out.get
     for w in marked:
-        add("w " + w, 1.0)
+        k = _of_word(w)[0]
+        out[k] = get(k, 0.0) + 1.0
     for a, b in zip(["^", *marked], [*marked, "$"]):
-        add(f"p {a} {b}", 0.7)
+        k = _of_pair(a, b)
+        out[k] = get(k, 0.0) + 0.7
     for w in set(marked):
-        if len(w) > 4:
-            for i in range(len(w) - 3):
-                add("c " + w[i : i + 4], 0.25)
-    second = any(w in SECOND for w in words)
-    kinds = {k for k, s in _LEXSETS.items() if any(w in s for w in words)}
+        for k in _of_word(w)[1]:
+            out[k] = get(k, 0.0) + 0.25
+    told = [_of_word(w) for w in words]
+    second = any(x[3] for x in told)
+    listed = "".join(x[2] for x in told)
+    kinds = set(listed)
     for k in kinds:
         add("lex " + k, 2.0)
-        n = sum(w in _LEXSETS[k] for w in words)
-        if n > 1:
+        if listed.count(k) > 1:
             add(f"lex2 {k}", 2.0)
         if second:
             add(f"you+{k}", 2.0)
     if second:
         add("you", 1.0)
-    if named:
+    if "@g" in marked:
         add("group", 3.0)
         for k in kinds:
             add(f"group+{k}", 1.0)
@@ -238,25 +281,23 @@ class Detector:
     def score(self, text: str) -> dict[str, float]:
         """The highest probability of each category over the sentences."""
         best = dict.fromkeys(CATEGORIES, 0.0)
-        restored = [restore(s, self.model) for s in sentences(text)]
-        restored = [s for s in restored if WORD.search(s)]
-        if not restored:
+        told = [w for s in sentences(text) if (w := [x.lower() for x in WORD.findall(restore(s, self.model))])]
+        if not told:
             return best
-        probs = self.linear.probabilities(pack(features(s, self.groups) for s in restored))
-        for s, p in zip(restored, probs):
-            words = {w.lower() for w in WORD.findall(s)}
-            if words & self.groups or any(w in _LEXICON for w in words):
+        probs = self.linear.probabilities(pack(word_features(w, self.groups) for w in told))
+        for words, p in zip(told, probs):
+            named = not self.groups.isdisjoint(words)
+            if named or any(w in _LEXICON for w in words):
                 p = p * [1.0, EVIDENCE_ODDS, EVIDENCE_ODDS]
                 p = p / p.sum()
-            toxic = "hateful" if any(w.lower() in self.groups for w in WORD.findall(s)) or self._about_group(s) else "abusive"
+            toxic = "hateful" if named or self._about_group(words) else "abusive"
             best[toxic] = max(best[toxic], float(p[1]))
             best["sexual"] = max(best["sexual"], float(p[2]))
         return best
 
     @staticmethod
-    def _about_group(s: str) -> bool:
-        words = [w.lower() for w in WORD.findall(s)]
-        return not any(w in SECOND for w in words) and any(w in _LEXSETS["c"] for w in words) and any(w in ("they", "them", "people", "those", "all", "alle", "tous", "todos", "tutti", "allemaal") for w in words)
+    def _about_group(words: list[str]) -> bool:
+        return SECOND.isdisjoint(words) and not _LEXSETS["c"].isdisjoint(words) and not _PEOPLE.isdisjoint(words)
 
 
 def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background: list[str] | None = None, rounds: int = 4, threshold: float = 0.5, grams: dict[str, float] | None = None) -> Detector:
@@ -343,15 +384,16 @@ def corpus_grams(df: DataFrame, text_col: str = "text") -> dict[str, float]:
     return dict(zip(got["g"].to_pylist(), got["n"].to_pylist()))
 
 
-def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = 20000, max_background: int = 600) -> DataFrame:
+def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = 20000, max_background: int = 600, spread_rows: bool = True) -> DataFrame:
     """One row per record: its probability of abusive, hateful and sexual content, the highest of them as `score`, and
     the categories at or over the threshold.
 
     Null, blank or empty texts score 0; null ids are kept; repeated rows give repeated rows; extra columns are ignored;
-    an empty table gives no rows. The classifier is fitted on at most `max_labelled` labelled rows (the lowest ids) and, as
+    an empty table gives no rows. The classifier is fitted on at most `max_labelled` labelled rows (chosen by hash) and, as
     certain negatives, the sentences of `max_background` texts chosen by hash; the n-grams of words are counted over all texts.
     """
-    lines = [(r["label"], r["text"]) for r in labelled.select("line_id", "label", "text").filter("label is not null and text is not null").orderBy("line_id").limit(max_labelled).collect()]
+    told = bounded_sample(labelled.select("line_id", "label", "text").filter("label is not null and text is not null"), max_labelled, "line_id")
+    lines = [(r["label"], r["text"]) for r in sorted(told.collect(), key=lambda r: (r["line_id"] is None, r["line_id"] or 0))]
     text = F.col(text_col)
     chosen = bounded_sample(df.select(F.col(id_col).alias("id"), text.alias("text")).filter(text.isNotNull()), max_background, "id")
     det = fit(lines, {}, [r["text"] for r in chosen.collect()], threshold=threshold, grams=corpus_grams(df, text_col))
@@ -367,7 +409,7 @@ def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id",
 
     source = F.col("source") if "source" in df.columns else F.lit(None).cast("string").alias("source")
     base = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text"), source)
-    return map_arrow(spread(base), run, "record_id bigint, source string, abusive double, hateful double, sexual double, score double, categories array<string>")
+    return map_arrow(spread(base) if spread_rows else base, run, "record_id bigint, source string, abusive double, hateful double, sexual double, score double, categories array<string>")
 
 
 def abuse_rates(scores: DataFrame) -> DataFrame:
