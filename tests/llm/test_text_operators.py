@@ -213,3 +213,17 @@ def test_spam(spark):
     got = [(r["doc_id"], r["spam"]) for r in spam.spam_scores(df).collect()]
     assert {i for i, s in got if s and i is not None} == {900 + i for i in range(len(spam_docs))} and (None, True) in got
     assert spam.spam_scores(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_spam_scores_of_corpora_of_short_texts(spark):
+    """Every document gets its row, also where none has the words to tell."""
+    df = spark.createDataFrame([(1, "ok", "en"), (2, None, None), (3, "buy now", "xx")], "doc_id long, text string, lang string")
+    got = spam.spam_scores(df).collect()
+    assert sorted((r["doc_id"], r["spam"]) for r in got) == [(1, False), (2, False), (3, False)]
+
+
+def test_shrinkage_is_continuous():
+    """A language's shape moves from the pooled one to its own as its rows grow, without a jump."""
+    pooled = spam.Shape(np.zeros(11), np.eye(11))
+    at = [spam._shrunk(np.ones(11), 2 * np.eye(11), n, pooled, np.eye(11), 100.0)[0][0] for n in (0, 99, 100, 101, 10**7)]
+    assert at[0] == 0 and at == sorted(at) and at[3] - at[1] < 0.02 and at[-1] > 0.999

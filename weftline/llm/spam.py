@@ -136,22 +136,38 @@ def _group(lang: str | None, label: str | None) -> str:
     return label_code(label) or lang or "und"
 
 
-def fit_shapes(vectors: DataFrame, steps: int = 2, part: float = 0.75, least: int = 200) -> dict[str, Shape]:
-    """Shapes by language, and one of all rows under ''. Languages of fewer than `least` rows take that one.
+def _shrunk(mean: np.ndarray, cov: np.ndarray, n: float, pooled: Shape | None, pooled_cov: np.ndarray | None, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter drawn towards the pooled ones, as if those had been seen in `prior` more rows."""
+    if pooled is None:
+        return mean, cov
+    own = n / (n + prior)
+    return own * mean + (1 - own) * pooled.mean, own * cov + (1 - own) * pooled_cov
+
+
+def fit_shapes(vectors: DataFrame, steps: int = 2, part: float = 0.75, prior: float = 100.0) -> dict[str, Shape]:
+    """Shapes by language, and one of all rows under ''. A language's shape is drawn towards that of all rows by as much as
+    `prior` rows weigh beside its own, alike at every size; without any row of 12 words the shape of all rows is one
+    around 0.
 
     The first centre is the median, the first scale the median deviation; each step then takes the sums over the `part`
     of the rows that lie nearest. Only quantiles and sums, one row a language, come to the driver.
     """
     told = vectors.filter("n >= 12")
-    exploded = told.select("g", "x", "b").unionByName(told.select(F.lit("").alias("g"), "x", "b"))
+    # Texts of no telling language are no language of their own: the shape of all rows judges them.
+    exploded = told.filter("g <> 'und'").select("g", "x", "b").unionByName(told.select(F.lit("").alias("g"), "x", "b"))
     k = len(FEATURES)
     col = [F.col("x")[i] for i in range(k)]
     med = {r["g"]: r for r in exploded.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 2000).alias(f"m{i}") for i, c in enumerate(col)], *[F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"q{i}") for i, c in enumerate(col)]).collect()}
+    if "" not in med:
+        return {"": Shape(np.zeros(k), np.diag(FLOOR**2))}
     shapes: dict[str, Shape] = {}
-    for g, r in med.items():
-        if g == "" or r["n"] >= least:
-            spread_ = np.array([max((r[f"q{i}"][1] - r[f"q{i}"][0]) / 1.35, FLOOR[i]) for i in range(k)])
-            shapes[g] = Shape(np.array([r[f"m{i}"] for i in range(k)]), np.diag(spread_**2))
+    pooled_cov = None
+    for g in sorted(med):  # '' comes first
+        r = med[g]
+        spread_ = np.array([max((r[f"q{i}"][1] - r[f"q{i}"][0]) / 1.35, FLOOR[i]) for i in range(k)])
+        mean, cov = _shrunk(np.array([r[f"m{i}"] for i in range(k)]), np.diag(spread_**2), r["n"], shapes.get(""), pooled_cov, prior)
+        shapes[g] = Shape(mean, cov)
+        pooled_cov = cov if g == "" else pooled_cov
     for _ in range(steps):
         measured = map_arrow(exploded.select("g", "b"), _distances(shapes), "g string, d double, b binary")
         cut_at = {r["g"]: r["q"] for r in measured.groupBy("g").agg(F.percentile_approx("d", part, 5000).alias("q")).collect()}
@@ -170,14 +186,15 @@ def fit_shapes(vectors: DataFrame, steps: int = 2, part: float = 0.75, least: in
 
         parts = map_arrow(measured, sums, "g string, n bigint, s array<double>")
         total = parts.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k + k * k)])
-        for r in total.collect():  # one row a language
-            if r["g"] not in shapes:
-                continue
+        new: dict[str, Shape] = {}
+        for r in sorted(total.collect(), key=lambda r: r["g"]):  # one row a language
             s = np.array([r[f"s{i}"] for i in range(k + k * k)]) / r["n"]
-            mean = s[:k]
-            cov = s[k:].reshape(k, k) - np.outer(mean, mean)
             # The nearest three quarters vary less than all: scaled as for normal rows.
-            shapes[r["g"]] = Shape(mean, cov * 1.6)
+            own_cov = (s[k:].reshape(k, k) - np.outer(s[:k], s[:k])) * 1.6
+            mean, cov = _shrunk(s[:k], own_cov, r["n"], new.get(""), pooled_cov, prior)
+            new[r["g"]] = Shape(mean, cov)
+            pooled_cov = cov if r["g"] == "" else pooled_cov
+        shapes |= new
     return shapes
 
 
@@ -198,11 +215,11 @@ def _distances(shapes: dict[str, Shape]):
     return run
 
 
-def spam_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far: float = 180.0, least_cosine: float = 0.45, least_words: int = 12) -> DataFrame:
+def spam_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far: float = 180.0, least_cosine: float = 0.45, least_words: int = 12, spread_rows: bool = True) -> DataFrame:
     """One row per document: its squared robust distance, the nearest spam direction with the cosine, and `spam`.
 
     `far` is well beyond a chi-square bound (31 at 0.999 for 11 features): the features of sound pages have long tails,
-    such as links that are annotated. Null, blank and very short texts are never spam; null ids are kept; repeated rows give repeated rows; extra columns
+    such as links that are annotated. Null, blank and very short texts (fewer than `least_words` words) are scored but never spam; null ids are kept; repeated rows give repeated rows; extra columns
     are ignored; an empty table gives no rows. Texts are read once; shuffles move sums only.
     """
 
@@ -212,7 +229,7 @@ def spam_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     label = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), label.alias("label"))
-    vectors = cut(map_arrow(spread(base), features, "doc_id bigint, g string, n int, x array<double>, b binary"))
+    vectors = cut(map_arrow(spread(base) if spread_rows else base, features, "doc_id bigint, g string, n int, x array<double>, b binary"))
     shapes = fit_shapes(vectors)
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
@@ -229,4 +246,4 @@ def spam_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spam = (d >= far) & np.array([w[1] >= least_cosine for w in way]) & (n >= least_words)
         return {"doc_id": cols["doc_id"], "lang_group": cols["g"], "distance": d.tolist(), "direction": [w[0] for w in way], "cosine": [w[1] for w in way], "spam": spam.tolist()}
 
-    return map_arrow(vectors.drop("x"), judge, "doc_id bigint, lang_group string, distance double, direction string, cosine double, spam boolean") if shapes else docs.sparkSession.createDataFrame([], "doc_id bigint, lang_group string, distance double, direction string, cosine double, spam boolean")
+    return map_arrow(vectors.drop("x"), judge, "doc_id bigint, lang_group string, distance double, direction string, cosine double, spam boolean")
