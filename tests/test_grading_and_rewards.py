@@ -13,13 +13,41 @@ from weftline.plans import registry
     [
         (r"\frac{1}{2}", "0.5", True), ("12,345", "12345", True), ("3.0", "3", True), ("(1, 2)", "(1,2)", True), ("(1,2]", "(1,2)", False),
         (r"2\sqrt{3}", r"\sqrt{12}", True), ("x+1", "1+x", True), ("x+1", "x-1", False), (r"\frac34", "3/4", True), ("5 cm", "5", True), ("7", "8", False),
-        (r"\text{yes}", "yes", True), ("1/0", "1/0", True), ("1/0", "2", False), ("", "3", False), ("2^10", "1024", False), ("2^{10}", "4^5", True), ("y=4", "4", True), ("50\\%", "50", True),
+        (r"\text{yes}", "yes", True), ("1/0", "1/0", True), ("1/0", "2", False), ("", "3", False), ("2^10", "1024", False), ("2^{10}", "4^5", False), ("2^5", "4^2*2", True), (r"\frac{2}{4}", r"\frac{1}{2}", False), (r"7\frac{3}{4}", "31/4", True), ("0.75", "3/4", True), ("y=4", "4", True), ("50\\%", "50", True),
     ],
 )
 def test_grade(a, b, same):
     assert G.grade(a, b) is same
 
 
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        (r"\frac{72}1", r"\frac{72}1"), (r"\frac1{72}", r"\frac{1}{72}"), (r"\frac12", r"\frac{1}{2}"), (r"\frac1", r"\frac1"), ("50%", "50%"), (r"50\%", "50"), ("$5", "$5"), (r"\$5", "5"), (r"x\in[1,2]", r"x\in[1,2]"),
+        (r"5\text{ cm}", "5"), (r"7\text{ cm}+1", "7"), (r"1\text{ a}+\text{ b}+1", r"1\text{ a}+\text{ b}+1"), ("5 miles", "5"), ("10 apples", "10"), (r"\text{east}", "east"), (r"90^\circ", "90"), (".5", r"\frac{1}{2}"), ("3/4", r"\frac{3}{4}"), ("03/4", "03/4"),
+        ("k=7", "7"), ("abc=7", "abc=7"), (r"\sqrt3", r"\sqrt{3}"), (r"2\sqrt", r"2\sqrt"), (" 1 000 ", "1000"), ("", ""), (None, None), (r"\begin{bmatrix}1\end{bmatrix}", r"\begin{pmatrix}1\end{pmatrix}"),
+    ],
+)
+def test_first_normal_form(given, want):
+    assert G.mathd_normal(given) == want
+
+
+@pytest.mark.parametrize("given, want", [(r"\frac{1}{2}", "1/2"), (r"7\frac{3}{4}", "7+3/4"), (r"\boxed{7}", "7"), ("12,345", "12345"), ("3.0", "3"), ("2 million", "2*10^6"), ("5 degrees", "5"), (r"\text{Yes}", "yes"), ("1 or 2", "1,2"), (r"2\sqrt{3}", "2sqrt(3)"), (None, None)])
+def test_second_normal_form(given, want):
+    assert G.plain_normal(given) == want
+
+
+def test_boxes_in_other_forms():
+    assert [G.boxed(x) for x in (r"\fbox{5}", r"\boxed 5", r"\boxed 5 {6}", r"\boxed{a} \boxed{b")] == [None, None, None, None]
+    assert G.boxed(r"x \boxed{a{b}c} y") == "a{b}c"
+
+
+def test_values_and_latex():
+    assert G.value_equal("1,000", "1,000") and G.value_equal("3.0", "3") and not G.value_equal("3", "4")
+    assert G.grade("0.33333", "1/3", fast=False) and not G.grade("0.33333", "1/3") and G.grade("2x=4", "4=2x", fast=False) and not G.grade("a" * 200, "b" * 200, fast=False)
+    assert G.equal_values("+".join(["1"] * 300), "300"), "no size decides"
+
+
 def test_boxes_and_tags(spark):
     assert G.boxed(r"so \boxed{\frac{1}{2}} and \boxed{x^{2}}") == "x^{2}" and G.boxed(r"\boxed{1") is None and G.boxed("none") is None and G.boxed(None) is None
     rows = [("<think>x</think> <answer> 7 </answer>", "7"), ("<answer>7", "7"), ("7", "7"), (None, "7")]

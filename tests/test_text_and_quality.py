@@ -120,3 +120,13 @@ def test_fold_latin_agrees_with_unicode_tables(spark):
     want = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
     r = spark.createDataFrame([(t,)], "t string").select(T.fold_latin("t").alias("a"), T.fold_marks(F.col("t")).alias("b")).first()
     assert r["a"] == r["b"] == want
+
+
+def test_cleaning_counters(spark):
+    good = "The council agreed on the plan and it was better than before in every way. " * 6
+    dotted = "\n".join(["The council agreed on the plan and it was better than before ..."] * 8)
+    rows = [(1, good, "en", 0.95, "wiki", 0.99), (2, good, "en", 0.5, "wiki", 0.99), (3, good, "de", 0.99, "wiki", 0.99), (4, good, "en", 0.95, "cc", 0.99), (5, dotted, "en", 0.95, "wiki", 0.99), (6, " ", "en", 0.95, "wiki", 0.99), (7, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, identified string, identified_score double, quality string, quality_score double")
+    flagged = quality.cleaning(df, quality.basic_rules(), least_ratio=0.1)
+    got = quality.cleaning_counts(flagged).first().asDict()
+    assert got == {"total_records": 7, "http_responses": 7, "extracted": 5, "lang_ok": 3, "nsfw_ok": 0, "tox_ok": 0, "gopher_ok": 2, "quality_ok": 1}

@@ -128,5 +128,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return base.select("id", "h").join(per, "h").select(F.col("id").alias(id_col), F.col("component").alias("class_id"), "n_links")
 
 
+def minhash_classes(df: DataFrame, id_col: str, grams_col: str, hashes: int = 20, n_bands: int = 10, threshold: float = 0.8) -> DataFrame:
+    """(id, component) of sets: signatures of `hashes` least hashes in `n_bands` bands give candidates, their exact similarity
+    the links, and the smallest id that links reach the component. Give it distinct texts. Empty sets link to nothing."""
+    sets = cut(df.select(F.col(id_col).alias("id"), F.col(grams_col).alias("g")))
+    sig = cut(sets.filter(F.size("g") > 0).select("id", signature(F.col("g"), hashes).alias("sig")))
+    pairs = candidate_pairs(bands(sig, "sig", hashes, n_bands), "id")
+    ga, gb = (sets.select(F.col("id").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
+    links = pairs.join(ga, "a").join(gb, "b").filter(jaccard(F.col("ga"), F.col("gb")) >= threshold).select("a", "b")
+    return components(sets, links)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -89,3 +89,37 @@ def funnel(df: DataFrame, by: str = "source", **kw) -> DataFrame:
     per = st.groupBy(by).agg(*sums)
     total = per.agg(F.lit("(all)").alias(by), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in per.columns[1:]])
     return per.unionByName(total)
+
+
+#: Counters of the cleaning of files; the two gates of content are counted by name, yet no record is tested by them there.
+COUNTERS = ("total_records", "http_responses", "extracted", "lang_ok", "nsfw_ok", "tox_ok", "gopher_ok", "quality_ok")
+
+
+def cleaning(df: DataFrame, passes: Column, text_col: str = "text", lang: str = "identified", lang_score: str = "identified_score", quality: str = "quality", quality_score: str = "quality_score", least_lang: float = 0.9, least_quality: float = 0.95, least_ratio: float = 0.2) -> DataFrame:
+    """Adds the flags extracted, lang_ok, gopher_ok, quality_ok in the order of the cleaning; each is true only where all
+    before it are. passes: the basic rules. The gate of quality also asks for the least share of distinct words."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    extracted = no(~T.is_blank(F.col(text_col)))
+    lang_ok = extracted & no(gate(lang, lang_score, "en", least_lang))
+    gopher_ok = lang_ok & no(passes)
+    quality_ok = gopher_ok & no(T.type_token_ratio(T.words(text_col)) >= least_ratio) & no(gate(quality, quality_score, "wiki", least_quality))
+    return df.withColumns({"extracted": extracted, "lang_ok": lang_ok, "gopher_ok": gopher_ok, "quality_ok": quality_ok})
+
+
+def cleaning_counts(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The eight counters of the cleaning."""
+    one = {"total_records": F.lit(1), "http_responses": F.lit(1), "nsfw_ok": F.lit(0), "tox_ok": F.lit(0)}
+    sums = [F.coalesce(F.sum(one[k] if k in one else F.col(k).cast("int")), F.lit(0)).cast("bigint").alias(k) for k in COUNTERS]
+    return flagged.groupBy(*(by or [])).agg(*sums)
+
+
+def basic_rules(text_col: str = "text") -> Column:
+    """The first tier of rules over word and punctuation tokens: their number, their mean length, lines that end in an
+    ellipsis, and tokens with a letter. Null for null."""
+    t = F.col(text_col)
+    w, ln = T.word_tokens(t), T.lines(t)
+    n = F.size(w)
+    chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+    dotted = F.size(F.filter(ln, lambda x: x.contains("...") & T.strip(x).endswith("...")))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return n.between(50, 100000) & ratio(chars, n).between(3, 10) & (ratio(dotted, F.size(ln)) <= 0.3) & (ratio(F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))), n) >= 0.8)

@@ -37,13 +37,15 @@ def reward_metadata(df: DataFrame, group: list[str], reward: str = "reward", by_
 
     All of it follows from each group's count, mean and deviation, so that rows are aggregated once and joined to nothing."""
     g = df.filter(F.col(reward).isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"), F.avg(reward).alias("m"), F.stddev_samp(reward).alias("s"), F.min(reward).alias("lo"), F.max(reward).alias("hi")
+        F.count("*").alias("n"), F.avg(reward).alias("m"), F.stddev_samp(reward).alias("s"), F.min(reward).alias("lo"), F.max(reward).alias("hi"), F.sum(reward).alias("t")
     )
     n, m, s = F.col("n"), F.col("m"), F.col("s")
     inside = (n - 1) * F.coalesce(s, F.lit(0.0)) * F.coalesce(s, F.lit(0.0))
     several = n > 1
     scaled = F.when(several, inside / ((s + eps) * (s + eps)) if by_std else inside)
-    g = g.select("*", inside.alias("q"), scaled.alias("a"))
+    # What is left of the sum of a group beside its mean: nothing but rounding.
+    rest = F.when(several, (F.col("t") - n * m) / (s + eps) if by_std else F.col("t") - n * m)
+    g = g.select("*", inside.alias("q"), scaled.alias("a"), rest.alias("d"))
     total = F.sum("n")
     mean = F.try_divide(F.sum(n * m), total)
     n_adv = F.sum(F.when(several, n)) if by_std else total
@@ -51,7 +53,7 @@ def reward_metadata(df: DataFrame, group: list[str], reward: str = "reward", by_
         mean.alias("mean_reward"),
         F.sqrt(F.greatest(F.try_divide(F.sum("q") + F.sum(n * m * m) - total * mean * mean, total - 1), F.lit(0.0))).alias("std_reward"),
         F.min("lo").alias("min_reward"), F.max("hi").alias("max_reward"),
-        F.when(n_adv > 0, 0.0).alias("mean_advantage"), F.sqrt(F.try_divide(F.sum("a"), n_adv - 1)).alias("std_advantage"),
+        F.try_divide(F.sum("d"), n_adv).alias("mean_advantage"), F.sqrt(F.try_divide(F.sum("a"), n_adv - 1)).alias("std_advantage"),
         F.avg("m").alias("mean_group_mean"), F.avg("s").alias("mean_group_std"), F.min("s").alias("min_group_std"), F.max("s").alias("max_group_std"),
     )
 
@@ -135,6 +137,17 @@ def clipped(log_probs: Column, old: Column, advantage: Column, eps: float) -> Co
     return F.zip_with(log_probs, old, lambda a, b: F.greatest(F.least(F.exp(a - b), F.lit(1 + eps)), F.lit(1 - eps)) * advantage < F.exp(a - b) * advantage)
 
 
+def clip_metadata(df: DataFrame, log_probs: str, old: str, advantage: str, eps: float) -> DataFrame:
+    """One row over all tokens: the share of clipped ones, and mean, sample deviation and range of the ratios and of their logarithms."""
+    tokens = df.select(F.col(advantage).alias("a"), F.explode(F.arrays_zip(F.col(log_probs).alias("x"), F.col(old).alias("y"))).alias("p")).select("a", (F.col("p.x") - F.col("p.y")).alias("l"))
+    r = F.exp("l")
+    less = F.greatest(F.least(r, F.lit(1 + eps)), F.lit(1 - eps)) * F.col("a") < r * F.col("a")
+    return tokens.agg(
+        F.avg(less.cast("int")).alias("clipped_fraction"), F.avg(r).alias("ratio_mean"), F.stddev_samp(r).alias("ratio_std"), F.min(r).alias("ratio_min"), F.max(r).alias("ratio_max"),
+        F.avg("l").alias("log_ratio_mean"), F.stddev_samp("l").alias("log_ratio_std"),
+    )
+
+
 def loss(kind: str, log_probs: Column, reward: Column | None = None, advantage: Column | None = None, old: Column | None = None, eps: float | None = None) -> Column:
     """Per-token loss by kind; what a kind needs must be given."""
     need = {"no_baseline": ("reward",), "reinforce_with_baseline": ("advantage",), "grpo_clip": ("advantage", "old", "eps")}

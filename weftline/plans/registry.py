@@ -57,10 +57,18 @@ def flt3_quality_rules(spark, d):
 @query
 def flt2_basic_rules(spark, d):
     """The basic rules over word and punctuation tokens."""
-    docs = texts(spark, d, "documents")
     w = T.word_tokens("text")
-    out = docs.select("doc_id", F.size(w).alias("n_tokens"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("token_chars"), F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))).alias("n_alpha"))
-    return out.withColumn("passes_tokens", F.col("n_tokens").between(50, 100000) & (F.try_divide("token_chars", "n_tokens").between(3, 10)) & (F.try_divide("n_alpha", "n_tokens") >= 0.8))
+    return texts(spark, d, "documents").select("doc_id", F.size(w).alias("n_tokens"), quality.basic_rules().alias("passes"))
+
+
+@query
+def flt9_cleaning(spark, d):
+    """The whole cleaning of plain-text records with its eight counters by source; the quality gate is the trained classifier."""
+    lines = table(spark, d, "labelled_line").select("text", F.when(F.col("label") == "__label__clean", "positive").otherwise("negative").alias("label"))
+    wet = classify.identify_language(texts(spark, d, "wet_record").select("record_id", "text", F.coalesce("source", F.lit("(none)")).alias("source")))
+    scored = classify.predict_linear(classify.train_linear(lines), wet, out="q")
+    scored = scored.withColumns({"quality": F.when(F.col("q") == "positive", "wiki").otherwise("cc"), "quality_score": F.col("q_score")})
+    return quality.cleaning_counts(quality.cleaning(scored, quality.basic_rules()), ["source"])
 
 
 @query
@@ -115,7 +123,7 @@ def cls2_cls3_nsfw_toxic(spark, d):
 
 @query
 def pii_masks(spark, d):
-    return pii.mask_all(texts(spark, d, "documents")).select("doc_id", "n_emails", "n_ips", F.md5("masked").alias("masked_md5"))
+    return pii.mask_all(texts(spark, d, "documents")).select("doc_id", "n_emails", "n_phones", "n_ips", F.md5("masked").alias("masked_md5"))
 
 
 @query
@@ -193,6 +201,38 @@ def dup7_similar_pairs(spark, d):
     return dedup.similar_pairs(_grams(spark, d), "doc_id", "g").select("a", "b", _r("similarity").alias("similarity"))
 
 
+def _altered(spark, d):
+    """The documents, and each once more under another id with words at its end."""
+    docs = texts(spark, d, "documents").select("doc_id", "text")
+    return docs.unionByName(docs.filter("text is not null").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.concat("text", F.lit(" with an altered end")).alias("text")))
+
+
+def _altered_grams(spark, d):
+    norm = _altered(spark, d).filter("text is not null").select("doc_id", T.normalize("text").alias("norm"))
+    return cut(norm.groupBy("norm").agg(F.min("doc_id").alias("doc_id")).select("doc_id", T.ngrams(T.words("norm"), 5).alias("g")))
+
+
+@query
+def dup7_altered_pairs(spark, d):
+    return dedup.similar_pairs(_altered_grams(spark, d), "doc_id", "g").select("a", "b", _r("similarity").alias("similarity"))
+
+
+@query
+def dup8_components(spark, d):
+    g = _altered_grams(spark, d)
+    return dedup.components(g.select(F.col("doc_id").alias("id")), dedup.similar_pairs(g, "doc_id", "g"))
+
+
+@query
+def dup10_altered_duplicates(spark, d):
+    return dedup.near_duplicates(_altered(spark, d))
+
+
+@query
+def dup10_minhash_classes(spark, d):
+    return dedup.minhash_classes(_altered_grams(spark, d), "doc_id", "g")
+
+
 @query
 def dup10_near_duplicates(spark, d):
     return dedup.near_duplicates(texts(spark, d, "documents"))
@@ -253,9 +293,8 @@ def grd8_final_forms(spark, d):
 
 @query
 def grd9_number_forms(spark, d):
-    a = F.col("answer")
-    bare = F.replace(F.replace(a, F.lit("$"), F.lit("")), F.lit(","), F.lit(""))
-    return table(spark, d, "math_problem").select("problem_id", F.expr("try_cast(replace(replace(answer, '$', ''), ',', '') as double)").alias("value"), bare.rlike(r"^-?[0-9]+$").alias("is_int"), bare.rlike(r"^-?[0-9]+/[0-9]+$").alias("is_frac"))
+    """What the helpers of the second normal form make of each answer."""
+    return table(spark, d, "math_problem").select("problem_id", grading.number_forms("answer").alias("n")).select("problem_id", "n.*")
 
 
 @query
@@ -277,7 +316,7 @@ def grd2_boxed_rewards(spark, d):
 
 @query
 def grd15_repetition(spark, d):
-    return texts(spark, d, "sft_example").select("example_id", _r(grading.repetition("response")).alias("repetition"))
+    return texts(spark, d, "sft_example").select("example_id", grading.repetitive("response").alias("repetitive"))
 
 
 @query
@@ -313,19 +352,26 @@ def win1_group_advantages(spark, d):
 @query
 def agg8_reward_metadata(spark, d):
     m = rewards.reward_metadata(_unique_rollouts(spark, d), ["run_id", "step", "prompt_id"])
-    return m.select(*[_r(c).alias(c) for c in m.columns])
+    return m.select(*[_r(c).alias(c) if c != "mean_advantage" else F.abs(_r(c)).alias(c) for c in m.columns])
 
 
 @query
 def agg3_validation_means(spark, d):
+    out = rewards.validation_means(grd1_tagged_rewards(spark, d))
+    return out.select(*[_r(c).alias(c) for c in out.columns])
+
+
+@query
+def agg3_run_means(spark, d):
     r = _unique_rollouts(spark, d)
     return r.groupBy("run_id").agg(F.count("*").alias("n"), _r(F.avg((F.col("reward") > 0).cast("int"))).alias("accuracy"), _r(F.avg("reward")).alias("mean_reward"))
 
 
 @query
 def agg4_success_rate(spark, d):
-    out = rewards.success_rate(_unique_rollouts(spark, d), by=["run_id"])
-    return out.withColumn("success_rate", _r("success_rate"))
+    """The tables hold no entropies: a hundredth of the length stands for one."""
+    out = rewards.success_rate(_unique_rollouts(spark, d).withColumn("entropy", F.length("response") / 100), entropy="entropy", by=["run_id"])
+    return out.withColumns({"success_rate": _r("success_rate"), "mean_entropy": _r("mean_entropy")})
 
 
 @query
@@ -380,6 +426,12 @@ def rln2_clip_loss(spark, d):
     return a.select("vec_id", _r(rewards.masked_mean(l, F.col("mask"))).alias("loss"), F.size(F.filter(c, lambda v: v)).alias("n_clipped"), _r(rewards.masked_mean(rewards.naive_loss(F.col("x"), F.col("advantage")), F.col("mask"))).alias("naive"))
 
 
+@query
+def rln2_clip_metadata(spark, d):
+    out = rewards.clip_metadata(_arrays(spark, d), "x", "old", "advantage", 0.05)
+    return out.select(*[_r(c).alias(c) for c in out.columns])
+
+
 @query
 def rln4_microbatch(spark, d):
     a = _arrays(spark, d).withColumn("loss", rewards.naive_loss(F.col("x"), F.col("advantage")))
@@ -424,7 +476,7 @@ def win3_top_p(spark, d):
 def smp6_prompt_response(spark, d):
     """Byte values of prompts and responses as ids."""
     x = texts(spark, d, "sft_example").filter("prompt is not null and response is not null")
-    ids = lambda c: F.transform(F.split(F.col(c), ""), lambda ch: F.ascii(ch))
+    ids = lambda c: F.when(F.col(c) == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(F.col(c), ""), lambda ch: F.ascii(ch)))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
     cols = sampling.prompt_response(ids("prompt"), ids("response"))
     return x.select("example_id", F.size(cols["input_ids"]).alias("n_input"), F.size(F.filter(cols["response_mask"], lambda m: m)).alias("n_response"), total(cols["labels"]).alias("label_sum"), total(F.zip_with(cols["labels"], cols["response_mask"], lambda v, m: F.when(m, v).otherwise(0))).alias("response_label_sum"))
@@ -472,6 +524,13 @@ def joi1_uri_match(spark, d):
     return joins.first_match(wet, warc, "target_uri", "warc_id").select("record_id", F.col("right_warc_id").alias("warc_id"))
 
 
+@query
+def joi1_first_rollout(spark, d):
+    """Each problem with its first rollout."""
+    r = table(spark, d, "rollout").select(F.col("prompt_id").alias("problem_id"), "rollout_id")
+    return joins.first_match(table(spark, d, "math_problem").select("problem_id"), r, "problem_id", "rollout_id").select("problem_id", F.col("right_rollout_id").alias("first_rollout"))
+
+
 @query
 def joi4_joi8_membership(spark, d):
     """Problems that some rollout answers, and those that none does."""
