@@ -3,6 +3,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import bpe
@@ -77,3 +78,70 @@ def test_shards_delimited_and_jsonl(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").agg(F.sum("a")).first()[0] == 3
     (tmp_path / "t.txt").write_bytes(b"a\r\nb\xff")
     assert files.read_text_files(spark, str(tmp_path / "t.txt"), "ignore").first()["text"] == "a\nb"
+
+
+def test_wet_marks_and_headers(spark, tmp_path):
+    (tmp_path / "a.wet").write_text("WARC/1.0\r\nX: 1\r\nX: 2\r\n\r\nthe mark WARC/1.0 inside a line\r\nend\r\n\r\nWARC/1.0\r\nX: 3\r\n\r\nother\r\n")
+    got = {r["text"]: r["headers"]["X"] for r in warc.read_wet_text(spark, str(tmp_path / "a.wet")).collect()}
+    assert got == {"the mark WARC/1.0 inside a line\nend": "2", "other": "3"}
+
+
+def test_damaged_warcs_are_reported(spark, tmp_path):
+    whole = record("response", "http://x/1", b"<p>one") + record("response", "http://x/2", b"<p>two")
+    (tmp_path / "a.warc").write_bytes(whole[:-20])
+    assert warc.read_warc(spark, str(tmp_path)).count() == 1
+    got = {r["warc_type"]: r for r in warc.read_warc(spark, str(tmp_path), on_error="report").collect()}
+    assert got["damaged"]["pos"] == 1 and b"cut off" in bytes(got["damaged"]["payload"])
+    far = warc.read_warc_anywhere(spark, str(tmp_path), on_error="report").collect()
+    assert sorted((r["warc_type"], r["pos"]) for r in far) == [("damaged", 1), ("response", 0)] and far[0]["headers"]
+    with pytest.raises(Exception):
+        warc.read_warc(spark, str(tmp_path), on_error="raise").count()
+
+
+def test_warcs_in_one(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.warc").write_bytes(record("response", f"http://x/{k}", b"<p>body"))
+    (tmp_path / "3.warc").write_bytes(b"WARC/1.0\r\nContent-Length: 90\r\n\r\nshort")
+    out = str(tmp_path / "all.warc.gz")
+    assert warc.concat_warcs([str(p) for p in tmp_path.iterdir()] + [out], out) == (3, 1)
+    assert sorted(r["target_uri"] for r in warc.read_warc(spark, out).collect()) == [f"http://x/{k}" for k in range(3)]
+    assert warc.concat_warcs([str(tmp_path / f"{k}.warc") for k in range(3)], out, most=2) == (2, 0)
+
+
+def test_jsonl_modes(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{"a"\n')
+    assert files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
+    for name, skip_blank in (("x.jsonl", False), ("bad.jsonl", True), ("bad.jsonl", False)):
+        with pytest.raises(Exception):
+            files.read_jsonl(spark, str(tmp_path / name), "a int", skip_blank).collect()
+
+
+def test_other_sources_and_sinks(spark, tmp_path):
+    np.save(tmp_path / "t.npy", np.array([1, 70000], np.uint32))
+    assert files.read_token_arrays(spark, str(tmp_path / "t.npy")).first()["ids"] == [1, 70000]
+    (tmp_path / "a.out").write_text("one\ntwo\n")
+    (tmp_path / "b.err").write_text("no\n")
+    assert [(r["pos"], r["line"]) for r in files.read_logs(spark, str(tmp_path)).orderBy("pos").collect()] == [(0, "one"), (1, "two")]
+    df = spark.createDataFrame([("7", None, "so 7", 1.0)], "t string, a string, f string, reward double")
+    files.write_results(df, str(tmp_path / "r"), "t", "a", "f", ["reward"])
+    assert spark.read.json(str(tmp_path / "r")).columns == ["answer", "full answer", "ground_truth", "metrics"]
+    for k in (1, 2):
+        files.append_metrics(df.select("reward"), str(tmp_path / "m"), k)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m")).collect())) == [(1, "reward", 1.0), (2, "reward", 1.0)]
+    files.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["f"] == "so 7"
+    files.write_summary(df, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 1
+    texts = spark.createDataFrame([("/a/x", "1"), ("/b/x", "2"), ("/b/y", "3")], "path string, text string")
+    files.write_surviving(texts, texts.filter("text <> '3'"), str(tmp_path / "v"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "v")).select("name", "text").collect()] == [("x", "2")]
+
+
+def test_corpus_to_ordered_shards(spark, tmp_path):
+    vocab, merges = bpe.train(spark.createDataFrame([("ab ab abc",)], "text string"), 260)
+    t = bpe.Tokenizer(vocab, merges)
+    docs = spark.createDataFrame([(i, f"ab{i}") for i in range(20)] + [(99, None)], "doc_id long, text string")
+    out = files.write_corpus_shards(docs, t, str(tmp_path / "s"), 3).collect()
+    files.concat_shards([r["file"] for r in out], str(tmp_path / "all.bin"))
+    assert t.decode(np.fromfile(tmp_path / "all.bin", "<u2").tolist()) == "".join(f"ab{i}" for i in range(20))

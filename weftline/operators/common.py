@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own where it names one, else (tests) a temporary one."""
+    """The shared folder that the session names in spark.checkpoint.dir. On one machine (local masters) a folder of its own
+    will do where none is named; on a cluster that would be lost with the machine, and is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not (sc.master or "").startswith("local[") and sc.master != "local":
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="weftline-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -22,6 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small inputs come in fewer splits than there are cores; then spread the rows. Large inputs stay as they were read."""
+    """Small inputs come in fewer splits than there are cores; then the rows are dealt out, or one core would do the work of
+    all. Results do not depend on it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 
@@ -25,9 +26,55 @@ def read_text_files(spark: SparkSession, path: str, errors: str = "replace") ->
     return raw.select("path", decode("content").alias("text"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines by an explicit schema. strict: a bad line fails; else bad lines are dropped. Blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str, skip_blank: bool = True) -> DataFrame:
+    """JSON lines by an explicit schema. A bad line fails; a blank one is skipped, or fails as well."""
+    lines = spark.read.text(path)
+    blank = F.regexp_replace("value", r"\s", "") == ""
+    # A blank line is no JSON: it is given to the parser as an object that never ends.
+    lines = lines.filter(~blank) if skip_blank else lines.select(F.when(blank, F.lit("{")).otherwise(F.col("value")).alias("value"))
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
+def read_token_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ids) of .npy files with one-dimensional arrays of integers."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def ids(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: np.load(io.BytesIO(bytes(x)), allow_pickle=False).ravel().astype(np.int32))
+
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), ids("content").alias("ids"))
+
+
+def read_logs(spark: SparkSession, path: str, suffix: str = ".out") -> DataFrame:
+    """(file, pos, line) of the files of a folder with a suffix; lines in their order within a file."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}").select(F.input_file_name().alias("file"), "value")
+    return raw.select("file", F.posexplode(T.lines("value")).alias("pos", "line"))
+
+
+def write_results(df: DataFrame, path: str, truth: str, answer: str, full: str, metrics: list[str]) -> None:
+    """JSON lines with the keys ground_truth, answer, full answer and metrics."""
+    df.select(F.col(truth).alias("ground_truth"), F.col(answer).alias("answer"), F.col(full).alias("full answer"), F.struct(*metrics).alias("metrics")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """A small result as one file of JSON lines."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_metrics(df: DataFrame, path: str, step: int) -> None:
+    """Each column of a one-row result as a row (step, key, value) of a table that grows."""
+    cols = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns])
+    df.select(F.lit(step).alias("step"), F.explode(cols).alias("m")).select("step", "m.*").write.mode("append").parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_surviving(files: DataFrame, survivors: DataFrame, path: str, path_col: str = "path", text_col: str = "text") -> None:
+    """The texts of the surviving files, one line each under its base name; of equal names the last by path."""
+    kept = files.join(survivors.select(path_col).distinct(), path_col, "left_semi").withColumn("name", F.substring_index(path_col, "/", -1))
+    kept.groupBy("name").agg(F.max_by(text_col, path_col).alias("text")).write.mode("overwrite").json(path)
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>") -> DataFrame:
@@ -79,6 +126,16 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), ids("content").alias("ids"))
 
 
+def write_corpus_shards(df: DataFrame, tokenizer, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text", eos: int | None = None) -> DataFrame:
+    """A corpus as ordered token shards: texts are encoded and written by ranges of ids, so that the shards one after another
+    hold the documents in the order of their ids. Returns (shard, file, n_tokens). Null texts are left out."""
+    from weftline.operators.bpe import encode
+
+    ids = encode(df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("pos"), F.col(text_col).alias("text")), tokenizer, eos=eos)
+    ranged = ids.repartitionByRange(n_shards, "pos").withColumn("shard", F.spark_partition_id())
+    return write_token_shards(ranged.select("shard", "pos", "ids"), path)
+
+
 def concat_shards(files: list[str], out: str) -> int:
     """Shards appended in the order of their names; returns the bytes written."""
     n = 0
