@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if named is None:
             if not (sc.master or "").startswith("local[") and sc.master != "local":
                 raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+            named = tempfile.mkdtemp(prefix="weftline-")
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
