@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import takewhile
 
 import pandas as pd
@@ -49,9 +50,21 @@ def initial_vocab(specials: tuple[str, ...] = ()) -> dict[int, bytes]:
     return {i: bytes([i]) for i in range(256)} | {256 + i: s.encode() for i, s in enumerate(specials)}
 
 
+class _Most:
+    """A pair with its count in a heap: the most frequent comes first, of equal ones the greatest bytes."""
+
+    __slots__ = ("n", "pair")
+
+    def __init__(self, n: int, pair: tuple[bytes, bytes]):
+        self.n, self.pair = n, pair
+
+    def __lt__(self, other: _Most) -> bool:
+        return (self.n, self.pair) > (other.n, other.pair)
+
+
 def merge_words(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, bytes]]:
-    """Merges by count, ties by the greatest bytes; only words that hold a merged pair are recounted. Ends early where no
-    pair is left."""
+    """Merges by count, ties by the greatest bytes; only words that hold a merged pair are recounted, and only changed counts
+    go into the heap, where outdated ones are passed over. Ends early where no pair is left."""
     words = [[bytes([b]) for b in w] for w in counts]
     freq = list(counts.values())
     total: Counter = Counter()
@@ -60,19 +73,23 @@ def merge_words(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, by
         for p in zip(w, w[1:]):
             total[p] += freq[i]
             where[p].add(i)
+    heap = [_Most(n, p) for p, n in total.items()]
+    heapify(heap)
     merges = []
-    while len(merges) < n_merges and total:
-        best = max(total, key=lambda p: (total[p], p))
-        if total[best] <= 0:
-            break
+    while len(merges) < n_merges and heap:
+        top = heappop(heap)
+        best = top.pair
+        if top.n <= 0 or total[best] != top.n:
+            continue
         merges.append(best)
-        for i in list(where[best]):
+        changed: set[tuple[bytes, bytes]] = set()
+        for i in where.pop(best):
             w, f = words[i], freq[i]
             for p in zip(w, w[1:]):
                 total[p] -= f
-                if total[p] <= 0:
-                    del total[p]
-                where[p].discard(i)
+                changed.add(p)
+                if p != best:
+                    where[p].discard(i)
             out, k = [], 0
             while k < len(w):
                 if k + 1 < len(w) and (w[k], w[k + 1]) == best:
@@ -84,7 +101,11 @@ def merge_words(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, by
             words[i] = out
             for p in zip(out, out[1:]):
                 total[p] += f
+                changed.add(p)
                 where[p].add(i)
+        for p in changed:
+            if total[p] > 0:
+                heappush(heap, _Most(total[p], p))
     return merges
 
 

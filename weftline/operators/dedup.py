@@ -20,13 +20,13 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, text): every line that occurs more than once anywhere goes, its first copy too; order is kept; a text that
     loses all its lines becomes ''. A final line without newline differs from the same line with one. Null texts stay null.
 
-    Hot lines are aggregated before the shuffle, and only the hashes of lines that occur once are joined."""
-    pos = df.select(F.col(id_col).alias("id"), F.posexplode(T.kept_lines(text_col)).alias("pos", "line")).withColumn("h", F.sha2("line", 256))
-    once = pos.groupBy("h").agg(F.count("*").alias("n")).filter("n = 1").select("h")
-    kept = pos.join(once, "h", "left_semi")
-    texts = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "").alias("kept"))
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(texts, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("t").isNull(), F.lit(None).cast("string")).otherwise(F.coalesce("kept", F.lit(""))).alias(text_col))
+    A line is aggregated to its count and its place before it is shuffled, so that one that a third of all rows hold comes
+    once from each partition; of lines that occur once the place is at hand, and no line is joined back."""
+    pos = df.select(F.col(id_col).alias("id"), F.posexplode(T.kept_lines(text_col)).alias("pos", "line"))
+    once = pos.groupBy("line").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("pos").alias("pos")).filter("n = 1")
+    texts = once.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "").alias("kept"))
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none")).join(texts, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("none"), F.lit(None).cast("string")).otherwise(F.coalesce("kept", F.lit(""))).alias(text_col))
 
 
 def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,14 +75,15 @@ def similar_pairs(df: DataFrame, id_col: str, grams_col: str, threshold: float =
     """Exact set-similarity join: pairs (a < b, similarity) with a Jaccard similarity of at least the threshold.
 
     Each set is looked up by its rarest shingles only: of similar sets one of the |S| - ceil(t |S|) + 1 rarest is shared,
-    and sizes differ by t at most, so that no pair is lost and frequent shingles are not joined."""
+    and sizes differ by t at most, so that no pair is lost and frequent shingles are hardly joined. Shingles of one set only
+    cannot hit: they are dropped where they are counted, and take the first places of the prefix."""
     base = df.select(F.col(id_col).alias("id"), F.col(grams_col).alias("g")).filter(F.size("g") > 0)
     hashed = cut(base.select("id", F.transform("g", lambda x: F.xxhash64(x)).alias("g"), F.size("g").alias("m")))
     long = hashed.select("id", "m", F.explode("g").alias("h"))
-    df_ = long.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = long.join(df_, "h").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
-    keep = F.col("m") - F.ceil(F.col("m") * threshold).cast("int") + 1
-    prefix = ranked.select("id", "m", F.explode(F.slice("r", F.lit(1), keep)).alias("x")).filter("x.df > 1").select("id", "m", F.col("x.h").alias("h"))
+    shared = long.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = long.join(shared, "h").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
+    keep = F.col("m") - F.ceil(F.col("m") * threshold).cast("int") + 1 - (F.col("m") - F.size("r"))
+    prefix = ranked.filter(keep > 0).select("id", "m", F.explode(F.slice("r", F.lit(1), keep)).alias("x")).select("id", "m", F.col("x.h").alias("h"))
     a, b = (prefix.select(F.col("id").alias(x), F.col("m").alias(f"m{x}"), "h") for x in "ab")
     pairs = a.join(b, "h").filter((F.col("a") < F.col("b")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select("a", "b").distinct()
     ga, gb = (hashed.select(F.col("id").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
