@@ -91,7 +91,7 @@ def test_rare_and_long_words_are_counted(spark):
     long = "rechtsschutzversicherungsgesellschaften"
     df = spark.createDataFrame([("the quiet lens " * 5000,)] * 10 + [(f"zwyxil {long}",)], "text string")
     grams = abuse.corpus_grams(df)
-    assert grams["$"] == 150_002 and grams["wyxil$"] == grams["aften$"] == 1
+    assert grams.get("$") == 150_002 and grams.get("wyxil$") == grams.get("aften$") == 1 and grams.get("wyxi\0") == 1 and grams.get("qqqqq$") == 0
     det = abuse.fit(LABELLED, {}, grams=grams)
     assert det.model.logp("^zwyx", "i") > -1 and abuse._suspect(long.replace("e", "3"))
     assert abuse.restore("z w y x i l", det.model) == "zwyxil"

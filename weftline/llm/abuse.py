@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +50,44 @@ def word_grams(word: str, order: int = ORDER) -> list[str]:
     return [s[i - k : i + 1] for i in range(1, len(s)) for k in range(min(order, i + 1))]
 
 
+class GramCounts:
+    """Counts of n-grams in a table of a fixed size (two rows of hashed cells, the lesser counts): what the driver holds does
+    not grow with the words of the corpus. A count is never too small; it is too large only where both cells collide."""
+
+    BITS = 21
+
+    def __init__(self, cells: np.ndarray | None = None):
+        self.cells = np.zeros(2 << self.BITS, np.float32) if cells is None else cells
+
+    @classmethod
+    def places(cls, gram: str) -> tuple[int, int]:
+        h = xxhash.xxh64_intdigest(gram)
+        size = 1 << cls.BITS
+        return h & (size - 1), size + ((h >> 32) & (size - 1))
+
+    def get(self, gram: str) -> float:
+        a, b = self.places(gram)
+        return float(min(self.cells[a], self.cells[b]))
+
+
 class CharModel:
     """Character n-grams of words with stupid back-off; ^ and $ bound a word."""
 
-    def __init__(self, words: dict[str, float], order: int = ORDER, counts: dict[str, float] | None = None, scale: float = 1.0):
+    def __init__(self, words: dict[str, float], order: int = ORDER, counts: GramCounts | None = None, scale: float = 1.0):
         """counts: of n-grams besides those of the words, each taken times scale."""
-        self.order = order
+        self.order, self.counts, self.scale = order, counts, scale
         grams: dict[str, float] = defaultdict(float)
         for w, n in words.items():
             for g in word_grams(w, order):
                 grams[g] += n
-        for g, n in (counts or {}).items():
-            grams[g] += n * scale
-        for g in list(grams):
-            grams[g[:-1] + "\0"] += grams[g]
-        grams.default_factory = None
-        self.grams = grams
+                grams[g[:-1] + "\0"] += n
+        self.grams = dict(grams)
         self.memo: dict[str, tuple[str, float]] = {}
 
+    def count(self, gram: str) -> float:
+        n = self.grams.get(gram, 0.0)
+        return n + self.counts.get(gram) * self.scale if self.counts is not None else n
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
@@ -82,7 +103,7 @@ class CharModel:
         penalty = 0.0
         for k in range(min(self.order - 1, len(context)), -1, -1):
             ctx = context[len(context) - k :]
-            if (n := self.grams.get(ctx + c)) and (m := self.grams.get(ctx + "\0")):
+            if (n := self.count(ctx + c)) and (m := self.count(ctx + "\0")):
                 return math.log(n / m) + penalty
             penalty -= 1.6
         return -12.0 + penalty
@@ -300,12 +321,12 @@ class Detector:
         return SECOND.isdisjoint(words) and not _LEXSETS["c"].isdisjoint(words) and not _PEOPLE.isdisjoint(words)
 
 
-def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background: list[str] | None = None, rounds: int = 4, threshold: float = 0.5, grams: dict[str, float] | None = None) -> Detector:
+def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background: list[str] | None = None, rounds: int = 4, threshold: float = 0.5, grams: GramCounts | None = None) -> Detector:
     """Train on (label, text) lines. A toxic line is one of several sentences: the likeliest one is its positive.
     Sentences of the unlabelled background texts that hold no word of the lists and no group's name are taken as clean.
     grams: counts of the character n-grams of the corpus's words, beside or instead of the vocabulary."""
     vocab: Counter = Counter()
-    total = max(sum(vocabulary.values()) + (grams or {}).get("$", 0.0), 1.0)  # every word ends once
+    total = max(sum(vocabulary.values()) + (grams.get("$") if grams else 0.0), 1.0)  # every word ends once
     for w, n in vocabulary.items():
         vocab[w] += n / total * 2000
     per: dict[str, Counter] = {"clean": Counter(), "toxic": Counter(), "nsfw": Counter()}
@@ -365,8 +386,9 @@ def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background:
     return Detector(model, groups, linear, threshold)
 
 
-def corpus_grams(df: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Counts of the character n-grams of all words of all rows, with partial sums in each batch."""
+def corpus_grams(df: DataFrame, text_col: str = "text", spread_rows: bool = True) -> GramCounts:
+    """Counts of the character n-grams of all words of all rows and of their contexts, with partial sums in each batch. At most
+    as many rows as the table has cells come to the driver, 48 MB."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         words: Counter = Counter()
@@ -377,11 +399,17 @@ def corpus_grams(df: DataFrame, text_col: str = "text") -> dict[str, float]:
         for w, n in words.items():
             for g in word_grams(w):
                 c[g] += n
-        return {"g": list(c), "n": list(c.values())}
-
-    counts = map_arrow(spread(df.select(F.col(text_col).alias("text"))), run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # no row objects in the driver
-    return dict(zip(got["g"].to_pylist(), got["n"].to_pylist()))
+                c[g[:-1] + "\0"] += n
+        k = np.array([GramCounts.places(g) for g in c], np.int64).reshape(-1, 2)
+        cells, inv = np.unique(k, return_inverse=True)
+        n = np.bincount(inv.ravel(), np.repeat(np.array(list(c.values()), float), 2), len(cells))
+        return {"k": cells, "n": n.astype(np.int64)}
+
+    base = df.select(F.col(text_col).alias("text"))
+    got = map_arrow(spread(base) if spread_rows else base, run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = GramCounts()
+    out.cells[got["k"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = 20000, max_background: int = 600, spread_rows: bool = True) -> DataFrame:
@@ -396,7 +424,7 @@ def abuse_scores(df: DataFrame, labelled: DataFrame, id_col: str = "record_id",
     lines = [(r["label"], r["text"]) for r in sorted(told.collect(), key=lambda r: (r["line_id"] is None, r["line_id"] or 0))]
     text = F.col(text_col)
     chosen = bounded_sample(df.select(F.col(id_col).alias("id"), text.alias("text")).filter(text.isNotNull()), max_background, "id")
-    det = fit(lines, {}, [r["text"] for r in chosen.collect()], threshold=threshold, grams=corpus_grams(df, text_col))
+    det = fit(lines, {}, [r["text"] for r in chosen.collect()], threshold=threshold, grams=corpus_grams(df, text_col, spread_rows))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         got = [det.score(t or "") for t in cols["text"]]
