@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import FUNCTION_SETS, WORD, bounded_sample, map_arrow, spread
-from weftline.llm.linear import Linear, bucket, pack
+from weftline.llm.linear import Linear, bucket
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 BITS = 16
@@ -233,46 +233,36 @@ def _of_pair(a: str, b: str) -> int:
     return k
 
 
-def features(sentence: str, groups: frozenset[str]) -> dict[int, float]:
-    return word_features([w.lower() for w in WORD.findall(sentence)], groups)
-
-
-def word_features(words: list[str], groups: frozenset[str]) -> dict[int, float]:
-    """Words, word pairs and letter runs, marks of address, group names and lexicon words, hashed."""
-    out: dict[int, float] = {}
-
-    def add(f: str, v: float = 1.0) -> None:
-        k = bucket(f, BITS)
-        out[k] = out.get(k, 0.0) + v
-
-    marked = ["@g" if w in groups else w for w in words]
-    get = out.get
-    for w in marked:
-        k = _of_word(w)[0]
-        out[k] = get(k, 0.0) + 1.0
-    for a, b in zip(["^", *marked], [*marked, "$"]):
-        k = _of_pair(a, b)
-        out[k] = get(k, 0.0) + 0.7
-    for w in set(marked):
-        for k in _of_word(w)[1]:
-            out[k] = get(k, 0.0) + 0.25
-    told = [_of_word(w) for w in words]
-    second = any(x[3] for x in told)
-    listed = "".join(x[2] for x in told)
-    kinds = set(listed)
-    for k in kinds:
-        add("lex " + k, 2.0)
-        if listed.count(k) > 1:
-            add(f"lex2 {k}", 2.0)
-        if second:
-            add(f"you+{k}", 2.0)
-    if second:
-        add("you", 1.0)
-    if "@g" in marked:
-        add("group", 3.0)
-        for k in kinds:
-            add(f"group+{k}", 1.0)
-    return out
+def packed(told: list[list[str]], groups: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed rows of sentences given as words: words, word pairs and letter runs, marks of address, group names and lexicon
+    words, hashed. A row has length one; what a sentence repeats counts once, so that repetition does not add up."""
+    idx: list[int] = []
+    val: list[float] = []
+    starts = [0]
+    for words in told:
+        named = not groups.isdisjoint(words)
+        marked = ["@g" if w in groups else w for w in words] if named else words
+        own = [_of_word(w) for w in dict.fromkeys(marked)]
+        pairs = [_of_pair(a, b) for a, b in dict.fromkeys(zip(["^", *marked], [*marked, "$"]))]
+        runs: list[int] = []
+        for x in own:
+            runs += x[1]
+        told_of = [_of_word(w) for w in words]
+        listed = "".join([x[2] for x in told_of])
+        second = any([x[3] for x in told_of])
+        extra: list[tuple[str, float]] = [("you", 1.0)] if second else []
+        for k in set(listed):
+            extra += [("lex " + k, 2.0)] + [(f"lex2 {k}", 2.0)] * (listed.count(k) > 1) + [(f"you+{k}", 2.0)] * second + [(f"group+{k}", 1.0)] * named
+        extra += [("group", 3.0)] * named
+        norm = math.sqrt(len(own) + 0.49 * len(pairs) + 0.0625 * len(runs) + sum([v * v for _, v in extra])) or 1.0
+        idx += [x[0] for x in own] + pairs + runs + [bucket(k, BITS) for k, _ in extra]
+        val += [1 / norm] * len(own) + [0.7 / norm] * len(pairs) + [0.25 / norm] * len(runs) + [v / norm for _, v in extra]
+        starts.append(len(idx))
+    return np.array(idx, np.int64), np.array(val), np.array(starts, np.int64)
+
+
+def _low(sentence: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(sentence)]
 
 
 def _group_names(positive: list[str], clean: Counter) -> frozenset[str]:
@@ -302,10 +292,10 @@ class Detector:
     def score(self, text: str) -> dict[str, float]:
         """The highest probability of each category over the sentences."""
         best = dict.fromkeys(CATEGORIES, 0.0)
-        told = [w for s in sentences(text) if (w := [x.lower() for x in WORD.findall(restore(s, self.model))])]
+        told = [w for s in sentences(text) if (w := _low(restore(s, self.model)))]
         if not told:
             return best
-        probs = self.linear.probabilities(pack(word_features(w, self.groups) for w in told))
+        probs = self.linear.probabilities(packed(told, self.groups))
         for words, p in zip(told, probs):
             named = not self.groups.isdisjoint(words)
             if named or any(w in _LEXICON for w in words):
@@ -379,7 +369,7 @@ def fit(lines: list[tuple[str, str]], vocabulary: dict[str, float], background:
         for i, (_, k, _) in enumerate(rows):
             y[i, k if i in chosen else 0] = 1
         weight = np.array([3.0 if i in chosen else 1.0 if k == 0 else 0.5 for i, (_, k, _) in enumerate(rows)] + [0.5] * len(quiet))
-        data = pack(features(s, groups) for s in [*(s for _, _, s in rows), *quiet])
+        data = packed([_low(s) for s in [*(s for _, _, s in rows), *quiet]], groups)
         linear = Linear(3, BITS).fit(data, y, weight, epochs=6, rate=0.3, decay=1e-4)
         probs = linear.probabilities(data)
         value = {i: float(probs[i, k]) if k else 0.0 for i, (_, k, _) in enumerate(rows)}
