@@ -87,14 +87,22 @@ def flt10_bernoulli_sample(spark, d):
     return quality.bernoulli(texts(spark, d, "documents"), 0.02, "doc_id", seed=1).select("doc_id")
 
 
+def _with_content(spark, d, df):
+    """Adds nsfw and toxic with their scores, each by a model of its own."""
+    lines = table(spark, d, "labelled_line").select("text", T.strip_label("label").alias("l"))
+    for kind in ("nsfw", "toxic"):
+        model = classify.train_linear(lines.select("text", F.when(F.col("l") == kind, kind).otherwise(f"non-{kind}").alias("label")))
+        df = classify.predict_linear(model, df, out=kind)
+    return df
+
+
 @query
 def flt5_flt6_example_gates(spark, d):
-    """Positive and negative training examples among the labelled lines."""
-    x = table(spark, d, "labelled_line").select("line_id", "text", T.strip_label("label").alias("l"))
-    x = quality.with_rules(classify.identify_language(x)).withColumns({"nsfw": F.when(F.col("l") == "nsfw", "nsfw").otherwise("non-nsfw"), "toxic": F.when(F.col("l") == "toxic", "toxic").otherwise("non-toxic"), "one": F.lit(1.0)})
-    pos = quality.positive_example("identified", "identified_score", "nsfw", "one", "toxic", "one")
-    neg = quality.negative_example("identified", "identified_score", "nsfw", "one", "toxic", "one", F.col("failed").isNull())
-    return x.select("line_id", F.coalesce(pos, F.lit(False)).alias("positive"), neg.alias("negative"))
+    """Positive and negative training examples among the documents, by language, two content models and the rules."""
+    x = classify.identify_language(texts(spark, d, "documents").select("doc_id", "text"))
+    x = quality.with_rules(_with_content(spark, d, x))
+    args = ("identified", "identified_score", "nsfw", "nsfw_score", "toxic", "toxic_score")
+    return x.select("doc_id", F.coalesce(quality.positive_example(*args), F.lit(False)).alias("positive"), quality.negative_example(*args, F.col("failed").isNull()).alias("negative"))
 
 
 @query
@@ -114,9 +122,8 @@ def cls4_quality_classifier(spark, d):
 
 @query
 def cls2_cls3_nsfw_toxic(spark, d):
-    lines = table(spark, d, "labelled_line").select("text", T.strip_label("label").alias("label"))
-    got = classify.predict_linear(classify.train_linear(lines), texts(spark, d, "documents").select("doc_id", "text"))
-    return got.select("doc_id", "predicted", _r("predicted_score").alias("score"))
+    got = _with_content(spark, d, texts(spark, d, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "nsfw", _r("nsfw_score").alias("nsfw_score"), "toxic", _r("toxic_score").alias("toxic_score"))
 
 
 # --- masking and text, PII1-PII4, PRJ
