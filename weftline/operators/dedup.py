@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators.common import cut
+from weftline.operators.common import cut, discard, shuffles_dropped, stored
+from weftline.operators.similar import distinct_texts, similar_texts
 
 
 def line_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,22 +96,24 @@ def components(vertices: DataFrame, edges: DataFrame, id_col: str = "id", max_ro
     """(id, component): the smallest id that an undirected path of edges (a, b) reaches; singletons are their own.
 
     Label propagation with pointer jumping: each round takes the least label among the neighbours, then the label of the
-    label, so that rounds grow with the logarithm of the longest path. Each round is checkpointed."""
+    label, so that rounds grow with the logarithm of the longest path. Each round is stored, and the one before deleted."""
     v = vertices.select(F.col(id_col).alias("id")).distinct()
-    e = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    e = cut(e)
-    labels = cut(v.select("id", F.col("id").alias("c")))
-    for _ in range(max_rounds):
-        near = e.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = cut(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        changed = new.filter("c <> old").limit(1).count()
-        labels = new.select("id", "c")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
+    with shuffles_dropped(vertices.sparkSession):
+        e = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+        labels = stored(v.select("id", F.col("id").alias("c")))
+        for _ in range(max_rounds):
+            near = e.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
+            step = labels.join(near, labels.id == near.a, "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+            jump = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
+            new = stored(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
+            discard(labels)
+            changed = new.filter("c <> old").limit(1).count()
+            labels = new
+            if not changed:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        discard(e)
     return labels.select(F.col("id").alias(id_col), F.col("c").alias("component"))
 
 
@@ -129,15 +132,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return base.select("id", "h").join(per, "h").select(F.col("id").alias(id_col), F.col("component").alias("class_id"), "n_links")
 
 
-def minhash_classes(df: DataFrame, id_col: str, grams_col: str, hashes: int = 20, n_bands: int = 10, threshold: float = 0.8) -> DataFrame:
-    """(id, component) of sets: signatures of `hashes` least hashes in `n_bands` bands give candidates, their exact similarity
-    the links, and the smallest id that links reach the component. Give it distinct texts. Empty sets link to nothing."""
-    sets = cut(df.select(F.col(id_col).alias("id"), F.col(grams_col).alias("g")))
-    sig = cut(sets.filter(F.size("g") > 0).select("id", signature(F.col("g"), hashes).alias("sig")))
-    pairs = candidate_pairs(bands(sig, "sig", hashes, n_bands), "id")
-    ga, gb = (sets.select(F.col("id").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
-    links = pairs.join(ga, "a").join(gb, "b").filter(jaccard(F.col("ga"), F.col("gb")) >= threshold).select("a", "b")
-    return components(sets, links)
+def normal_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, norm) of the texts that are not null, stored; ids are bigints."""
+    return stored(df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), T.normalize(text_col).alias("norm")))
+
+
+def text_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, lsh: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id) of the distinct normal texts, under the smallest id, and (a, b, similarity) of the similar ones."""
+    with shuffles_dropped(df.sparkSession):
+        norms = normal_texts(df, id_col, text_col)
+        sets, members = distinct_texts(norms)
+        pairs = similar_texts(sets, "id", "norm", n, threshold, lsh)
+        discard(norms)
+    return members.filter("id = rep").select("id"), pairs
+
+
+def minhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, hashes: int = 20, n_bands: int = 10, threshold: float = 0.8) -> DataFrame:
+    """(id, component) of the distinct normal texts: signatures of `hashes` least hashes in `n_bands` bands give candidates,
+    their exact similarity the links, and the smallest id that links reach the component. Texts of fewer than n words link to
+    nothing. Similarity is found first, as that takes no signatures; of a similar pair, hashes are made until a band is shared."""
+    nodes, links = text_pairs(df, id_col, text_col, n, threshold, (hashes, n_bands))
+    return components(nodes, links)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

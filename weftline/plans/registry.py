@@ -237,7 +237,7 @@ def dup10_altered_duplicates(spark, d):
 
 @query
 def dup10_minhash_classes(spark, d):
-    return dedup.minhash_classes(_altered_grams(spark, d), "doc_id", "g")
+    return dedup.minhash_classes(_altered(spark, d))
 
 
 @query
