@@ -221,7 +221,7 @@ def _altered_grams(spark, d):
 
 @query
 def dup7_altered_pairs(spark, d):
-    return dedup.similar_pairs(_altered_grams(spark, d), "doc_id", "g").select("a", "b", _r("similarity").alias("similarity"))
+    return dedup.text_pairs(_altered(spark, d))[1].select("a", "b", _r("similarity").alias("similarity"))
 
 
 @query
