@@ -214,11 +214,6 @@ def _altered(spark, d):
     return docs.unionByName(docs.filter("text is not null").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.concat("text", F.lit(" with an altered end")).alias("text")))
 
 
-def _altered_grams(spark, d):
-    norm = _altered(spark, d).filter("text is not null").select("doc_id", T.normalize("text").alias("norm"))
-    return cut(norm.groupBy("norm").agg(F.min("doc_id").alias("doc_id")).select("doc_id", T.ngrams(T.words("norm"), 5).alias("g")))
-
-
 @query
 def dup7_altered_pairs(spark, d):
     return dedup.text_pairs(_altered(spark, d))[1].select("a", "b", _r("similarity").alias("similarity"))
@@ -226,8 +221,7 @@ def dup7_altered_pairs(spark, d):
 
 @query
 def dup8_components(spark, d):
-    g = _altered_grams(spark, d)
-    return dedup.components(g.select(F.col("doc_id").alias("id")), dedup.similar_pairs(g, "doc_id", "g"))
+    return dedup.components(*dedup.text_pairs(_altered(spark, d)))
 
 
 @query
