@@ -20,7 +20,7 @@ def _kept(folder):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
 
 
-@pytest.mark.parametrize("name", ["dup10_minhash_classes", "dup7_altered_pairs", "dup8_components"])
+@pytest.mark.parametrize("name", ["dup10_minhash_classes", "dup7_altered_pairs", "dup8_components", "dup10_altered_duplicates"])
 def test_no_table_of_ngrams_is_kept(spark, tmp_path, name):
     size = _documents(spark, tmp_path)
     folder = spark.sparkContext.getCheckpointDir() or dedup.stored(spark.range(1)) and spark.sparkContext.getCheckpointDir()

@@ -121,15 +121,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, class_id, n_links): class_id is the smallest id of the documents that links of similar texts connect; n_links
     the number of links of the document's text to different texts. Copies of one normal text are one node. Null texts and texts
     of fewer than n words link to copies only."""
-    norm = T.normalize(text_col)
-    base = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", F.md5("norm"))
-    rep = base.groupBy("h").agg(F.min("id").alias("rep"), F.first("norm").alias("norm"))
-    nodes = cut(rep.select("h", F.col("rep").alias("id"), T.ngrams(T.words("norm"), n).alias("g")))
-    links = cut(similar_pairs(nodes, "id", "g", threshold))
-    comp = components(nodes, links) if links.limit(1).count() else nodes.select("id", F.col("id").alias("component"))
+    with shuffles_dropped(df.sparkSession):
+        norms = normal_texts(df, id_col, text_col)
+        sets, members = distinct_texts(norms)
+        links = similar_texts(sets, "id", "norm", n, threshold)
+        discard(norms)
+        nodes = members.filter("id = rep").select("id")
+        comp = components(nodes, links) if links.limit(1).count() else nodes.select("id", F.col("id").alias("component"))
     degree = links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    per = nodes.select("h", "id").join(comp, "id").join(degree, "id", "left").select("h", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return base.select("id", "h").join(per, "h").select(F.col("id").alias(id_col), F.col("component").alias("class_id"), "n_links")
+    per = comp.join(degree, "id", "left").select(F.col("id").alias("rep"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(per, "rep").select(F.col("id").alias(id_col), F.col("component").alias("class_id"), "n_links")
 
 
 def normal_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
