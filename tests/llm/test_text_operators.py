@@ -227,3 +227,21 @@ def test_shrinkage_is_continuous():
     pooled = spam.Shape(np.zeros(11), np.eye(11))
     at = [spam._shrunk(np.ones(11), 2 * np.eye(11), n, pooled, np.eye(11), 100.0)[0][0] for n in (0, 99, 100, 101, 10**7)]
     assert at[0] == 0 and at == sorted(at) and at[3] - at[1] < 0.02 and at[-1] > 0.999
+
+
+def test_pair_models_learn_from_every_row(spark, monkeypatch):
+    """More pairs than are fitted at once: the words of all of them count, and defects are found as in a small table."""
+    q = "Explain in a few sentences why the lens is so light."
+    rows = [(i, f"{q} ({i})", prose(("en", "de", "fr")[i % 3 if i % 5 == 0 else 0], 2 + i % 3, i)) for i in range(900)]
+    cases = [(1001, q, "<answer> </answer>", "empty"), (1002, q, "I'm sorry, but I can't help with that.", "refusal"), (1003, q, q, "copy"), (1007, q, prose("en", 3, 77), None)]
+    models = []
+    for name in ("fit", "fit_over_all"):
+        if real := getattr(pairs, name, None):
+            monkeypatch.setattr(pairs, name, lambda *a, real=real: models.append(real(*a)) or models[-1])
+    df = spark.createDataFrame(rows + [c[:3] for c in cases], "example_id long, prompt string, response string")
+    got = {r["example_id"]: r["defect"] for r in pairs.pair_defects(df, max_training=300).collect()}
+    assert models[0].endings.tongues.words == pairs.Tongues(x for r in rows + cases for x in r[1:3]).words
+    assert {c[0]: got[c[0]] for c in cases} == {c[0]: c[3] for c in cases}
+    foreign = {r[0] for r in rows if r[0] % 5 == 0 and r[0] % 3}
+    assert sum(got[r[0]] == "other_language" for r in rows if r[0] in foreign) >= 110
+    assert sum(got[r[0]] is not None for r in rows if r[0] not in foreign) <= 20
